@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing
+from . import exact_dedup, language_id, ngram_join, packing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,9 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op4_secret_scan": secrets.op4_secret_scan,
+        "op5_language_id": language_id.op5_language_id,
+        "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_ngram_jaccard_join": ngram_join.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
