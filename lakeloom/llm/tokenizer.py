@@ -4,22 +4,51 @@ The splitting pattern of byte-level BPE never puts a boundary-free token across
 "non-space followed by space", so a text falls into chunks (a run of white space
 and the run of other characters after it) that encode independently of each
 other.  Each distinct chunk is encoded once per worker by the library; the ids
-of a text are the joined bytes of its chunks' ids.  The cache only saves work:
-when it is full it starts anew.
+of a text are the joined bytes of its chunks' ids.  The cache is bounded and only saves work.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 
 #: Unicode white space, as the tokenizer's pattern sees it.
 WHITE_SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-#: Chunks that a worker's cache holds, and the longest chunk that enters it.
-CACHE_CHUNKS, CACHE_LENGTH = 400_000, 64
+#: Chunks of one generation of a worker's cache (it holds two), and the longest chunk that enters it.
+CACHE_CHUNKS, CACHE_LENGTH = 800_000, 64
+
+
+class ChunkCache:
+    """chunk -> its encoding in two generations: when the young one is full, it replaces the old one."""
+
+    def __init__(self, make: Callable[[str], Any], size: int = CACHE_CHUNKS):
+        self.make, self.size, self.young, self.old = make, size, {}, {}
+
+    def look_up(self, chunks: list[str]) -> list:
+        got = list(map(self.young.get, chunks))
+        if None in got:
+            for i, found in enumerate(got):
+                if found is None:
+                    got[i] = self._miss(chunks[i])
+        return got
+
+    def _miss(self, chunk: str):
+        found = self.young.get(chunk)
+        if found is None:
+            found = self.old.get(chunk)
+            if found is None:
+                found = self.make(chunk)
+            if len(chunk) <= CACHE_LENGTH:
+                if len(self.young) >= self.size:
+                    self.old, self.young = self.young, {}
+                self.young[chunk] = found
+        return found
 
 
 class ChunkEncoder:
@@ -31,29 +60,12 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.ids: dict[str, bytes] = {}
-        self.starts: dict[str, bytes] = {}
-
-    def _encode(self, chunk: str) -> bytes:
-        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self.ids = ChunkCache(lambda chunk: array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes())
+        self.starts = ChunkCache(lambda chunk: array("I", [a for a, _ in self.library.encode(chunk, add_special_tokens=False).offsets]).tobytes())
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as consecutive little-endian 32-bit integers."""
-        cache, parts = self.ids, CHUNK.findall(text)
-        got = list(map(cache.get, parts))
-        if None in got:
-            for i, ids in enumerate(got):
-                if ids is None:
-                    chunk = parts[i]
-                    ids = cache.get(chunk)
-                    if ids is None:
-                        ids = self._encode(chunk)
-                        if len(chunk) <= CACHE_LENGTH:
-                            if len(cache) >= CACHE_CHUNKS:
-                                cache.clear()
-                            cache[chunk] = ids
-                    got[i] = ids
-        return b"".join(got)
+        return b"".join(self.ids.look_up(CHUNK.findall(text)))
 
     def spans(self, text: str) -> np.ndarray:
         """First character of each token of a text, in order of the tokens.
@@ -61,20 +73,8 @@ class ChunkEncoder:
         A character of several bytes may be split over tokens; each of them
         starts at that character, as the library's offsets say.
         """
-        cache, parts = self.starts, CHUNK.findall(text)
-        got = list(map(cache.get, parts))
-        for i, found in enumerate(got):
-            if found is None:
-                chunk = parts[i]
-                found = cache.get(chunk)
-                if found is None:
-                    offsets = self.library.encode(chunk, add_special_tokens=False).offsets
-                    found = np.array([a for a, _ in offsets], "<u4").tobytes()
-                    if len(chunk) <= CACHE_LENGTH:
-                        if len(cache) >= CACHE_CHUNKS:
-                            cache.clear()
-                        cache[chunk] = found
-                got[i] = found
+        parts = CHUNK.findall(text)
+        got = self.starts.look_up(parts)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         tokens = np.fromiter(map(len, got), np.int64, len(got)) // 4
         return np.frombuffer(b"".join(got), "<u4") + np.repeat(np.cumsum(lengths) - lengths, tokens)
