@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, ngram_join, packing, secrets
+from . import bpe, exact_dedup, flac, language_id, ngram_join, packing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,9 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_bpe_prefix_dp": bpe.op2_bpe_prefix_dp,
         "op4_secret_scan": secrets.op4_secret_scan,
         "op5_language_id": language_id.op5_language_id,
         "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
+        "op7_flac_media": flac.op7_flac_media,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
