@@ -57,6 +57,8 @@ class BpeModel:
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        splits = [p["pattern"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.pattern = splits[0].get("Regex") if len(splits) == 1 else None
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.added.items()}
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -202,22 +204,37 @@ class BpeModel:
 class WordEncoder:
     """Texts to ids and back, each distinct run of non-space characters once.
 
-    No word of the pattern contains white space, so the runs encode apart.  For
-    runs of lower-case ASCII letters only, the one word is the run itself.
+    No word of the pattern contains white space, so the runs encode apart.  Runs
+    of ASCII and Latin-1 letters, which normalisation only puts in lower case,
+    are cut into words here, and their words are remembered, too; all other
+    runs go through the file's own normaliser and pattern.
     """
 
-    LETTERS = re.compile(r"[A-Za-z]+")
+    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    # The splitting pattern of the file, on lower-case ASCII and Latin-1.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str):
-        self.model = BpeModel(path)
-        self.lowers = self.model.suffix and self.model.normalizer is not None and self.model.normalizer.normalize_str("AZ") == "az"
+        self.model = model = BpeModel(path)
+        lowers = model.normalizer is not None and model.normalizer.normalize_str("AZ\u00c9") == "az\u00e9"
+        self.lowers = lowers and model.pattern == self.PATTERN
+        self.of_char = {c: "".join(model.symbols[b] for b in chr(c).encode()) for c in range(256)}
+        self.known_words = ChunkCache(self._word, CACHE_RUNS)
         self.cache = ChunkCache(self._run, CACHE_RUNS)
 
+    def _word(self, word: str) -> tuple[str, str]:
+        ids = self.model.encode_word(word.translate(self.of_char))
+        return " ".join(map(str, ids)), self.model.decode(ids)
+
     def _run(self, run: str) -> tuple[str, str]:
-        if self.lowers and self.LETTERS.fullmatch(run):
-            ids = self.model.encode_word(run.lower())
-        else:
-            ids = self.model.encode(run)
+        if self.lowers and self.PLAIN.fullmatch(run) and not (self.model.special and self.model.special.search(run)):
+            words = self.WORDS.findall(run.lower())
+            if len(words) == 1:
+                return self.known_words.look_up(words)[0]
+            got = self.known_words.look_up(words)
+            return " ".join([g[0] for g in got]), " ".join([g[1] for g in got])
+        ids = self.model.encode(run)
         return " ".join(map(str, ids)), self.model.decode(ids)
 
     def encode(self, text: str) -> tuple[str, str]:
