@@ -1,0 +1,474 @@
+"""Each operator against brute force, with nulls, empty and long texts, repeats, empty tables and clashing names."""
+
+import hashlib
+import math
+import struct
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lakeloom.llm import bpe, exact_dedup, flac, language_id, lm_score, ngram_join, packing, quality, secrets, token_counts
+from lakeloom.llm.tokenizer import ChunkEncoder
+
+from .conftest import awkward
+
+BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
+ROWS = [(r[0], r[1]) for r in awkward()]
+
+
+def key(row):
+    return tuple((v is None, str(v)) for v in row)
+
+
+def same(got, want):
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def same_with_and_without_extras(op, docs, clashing, empty):
+    """An operator ignores other columns and gives nothing for nothing."""
+    a, b = op(docs), op(clashing)
+    same(a.collect(), [tuple(r) for r in b.collect()])
+    assert op(empty).collect() == []
+    return a.collect()
+
+
+# --- 9 exact dedup ---------------------------------------------------------------
+@pytest.mark.parametrize("capacity", [1, 4, 1 << 18])
+def test_exact_dedup(docs, clashing, empty, capacity):
+    got = same_with_and_without_extras(lambda d: exact_dedup.exact_dedup(d, capacity=capacity), docs, clashing, empty)
+    groups = {}
+    for i, t in ROWS:
+        groups.setdefault(t or "", []).append(i)
+    want = []
+    for i, t in ROWS:
+        ids = [x for x in groups[t or ""] if x is not None]
+        keep = max(ids) if ids else None
+        want.append((i, keep, len(groups[t or ""]), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+    same(got, want)
+
+
+def test_directory_doubling_splits_only_overfull_buckets():
+    depth, slots = exact_dedup.grow_directory({0: 10, 1: 10, 1 << 15: 3}, capacity=10)
+    assert depth == 16 and len(slots) == 1 << 16
+    local = {d for d, _ in slots}
+    assert min(local) == 1 and max(local) == 16  # the upper half was never split again
+    assert exact_dedup.grow_directory({0: 5}, capacity=10) == (0, [(0, 0)])
+
+
+# --- 1 packing -------------------------------------------------------------------
+def check_packing(rows, texts, capacity):
+    lib = Tokenizer.from_file(BYTE)
+    wanted = Counter()
+    for i, t in texts:
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [0]
+        for k, (start, n) in enumerate(packing.cut(len(ids), capacity)):
+            part = ids[start : start + n]
+            wanted[i, k, start, n, zlib.crc32(struct.pack(f"<{n}I", *part))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == wanted
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return len(by), sum(r.length for r in rows)
+
+
+def test_packing(docs, clashing, empty):
+    for capacity in (16, 2048):
+        rows = packing.pack(docs, BYTE, capacity).collect()
+        used, total = check_packing(rows, ROWS, capacity)
+        assert used <= math.ceil(total / capacity * 1.2) + 1
+    assert packing.pack(empty, BYTE).collect() == []
+    check_packing(packing.pack(clashing, BYTE).collect(), ROWS, 2048)
+
+
+def test_sequences_join_ids(docs):
+    packed = packing.pack(docs, BYTE, 64, with_ids=True).cache()
+    for r in packing.sequences(packed).collect():
+        assert len(r.ids) == 4 * r.n_tokens <= 256
+    assert sum(r.n_tokens for r in packing.sequences(packed).collect()) == packed.agg(F.sum("length")).first()[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), min_size=1, max_size=40))
+def test_plan_places_each_piece_once(histogram):
+    groups, _ = packing.plan_sequences(histogram, 64, classes=16, rounds=200)
+    placed = Counter()
+    for many, lengths in groups:
+        assert sum(lengths) <= 64
+        for n in lengths:
+            placed[n] += many
+    assert placed == Counter(histogram)
+
+
+def test_plan_is_near_the_volume_bound():
+    r = np.random.default_rng(1)
+    histogram = Counter(int(x) for x in np.clip(r.lognormal(6, 1, 50_000), 1, 2047))
+    groups, _ = packing.plan_sequences(histogram, 2048)
+    assert sum(m for m, _ in groups) <= 1.005 * sum(n * c for n, c in histogram.items()) / 2048
+
+
+def test_knapsack_against_brute_force():
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        sizes, values, room = r.integers(1, 12, 5), r.random(5), 20
+        best = np.zeros(room + 1)
+        for w in range(1, room + 1):
+            best[w] = max([best[w - 1], *(best[w - s] + v for s, v in zip(sizes, values) if s <= w)])
+        taken = packing.knapsack(values, sizes, room)
+        assert sum(sizes[i] * n for i, n in taken.items()) <= room
+        assert sum(values[i] * n for i, n in taken.items()) == pytest.approx(best[room])
+
+
+TEXT = st.text(st.sampled_from(list("abcdeimnrsthoTHE'  .,!?012\n\t") + ["ß", "é", "Σ", "İ", "ｅ", "中", "😀", "\x1c", "\xa0", "²", "́", "</w>", "<|endoftext|>", "'s", "'LL", "ﬁ", "　"]), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXT)
+def test_chunks_encode_as_the_library(text):
+    own, lib = chunk_pair()
+    want = lib.encode(text, add_special_tokens=False)
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == want.ids
+    assert own.spans(text).tolist() == [a for a, _ in want.offsets]
+
+
+_made = {}
+
+
+def chunk_pair():
+    if "byte" not in _made:
+        _made["byte"] = ChunkEncoder(BYTE), Tokenizer.from_file(BYTE)
+    return _made["byte"]
+
+
+# --- 2 BPE -----------------------------------------------------------------------
+def word_pair():
+    if "word" not in _made:
+        _made["word"] = bpe.WordEncoder(WORD), Tokenizer.from_file(WORD)
+    return _made["word"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(TEXT)
+def test_prefix_dp_encodes_as_the_library(text):
+    own, lib = word_pair()
+    want = lib.encode(text, add_special_tokens=False).ids
+    assert own.encode(text) == (" ".join(map(str, want)), lib.decode(want, skip_special_tokens=False))
+    assert own.model.encode(text) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXT)
+def test_prefix_dp_without_word_ends(text):
+    if "plain" not in _made:
+        _made["plain"] = bpe.BpeModel(BYTE)
+    lib = chunk_pair()[1]
+    want = lib.encode(text, add_special_tokens=False).ids
+    assert _made["plain"].encode(text) == want
+    assert _made["plain"].decode(want) == lib.decode(want, skip_special_tokens=False)
+
+
+def test_every_token_of_the_vocabulary():
+    own, lib = word_pair()
+    for token in list(own.model.tokens.values())[::7]:
+        text = token.replace("</w>", "")
+        assert own.model.encode(text) == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_encode(docs, clashing, empty):
+    got = same_with_and_without_extras(lambda d: bpe.bpe_encode(d, WORD), docs, clashing, empty)
+    lib = Tokenizer.from_file(WORD)
+    want = []
+    for i, t in ROWS:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append((i, " ".join(map(str, ids)), lib.decode(ids, skip_special_tokens=False)))
+    same(got, want)
+
+
+# --- 3 quality -------------------------------------------------------------------
+def test_importance_resampling(spark, docs, clashing, empty):
+    labels = spark.createDataFrame([(7, 1), (8, 1), (11, 1), (11, 0), (14, 0), (16, 0), (None, 1), (9, None)], "doc_id long, quality int")
+    got = same_with_and_without_extras(lambda d: quality.importance_resample(d, labels, share=0.5), docs, clashing, empty)
+    raw, target = np.ones(1 << 16), np.ones(1 << 16)
+    for i, t in ROWS:
+        f = quality.features((t or "").encode())
+        np.add.at(raw, f, 1)
+        if i in (7, 8, 11):
+            np.add.at(target, f, 1)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    want = {(i, t): float(ratio[quality.features((t or "").encode())].sum()) for i, t in ROWS}
+    assert sorted(round(r.log_weight, 9) for r in got) == sorted(round(want[x], 9) for x in ROWS)
+    keys = sorted((r.gumbel_key for r in got), reverse=True)
+    assert sum(r.selected for r in got) == sum(k >= keys[len(got) // 2 - 1] for k in keys)
+
+
+def test_resampling_without_labels_learns_nothing(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.log_weight for r in quality.importance_resample(docs, labels, share=1.0).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 2000])
+def test_kth_largest(spark, monkeypatch, k):
+    monkeypatch.setattr(quality, "LAST_VALUES", 10)
+    monkeypatch.setattr(quality, "BINS", 8)
+    values = [math.exp(x % 37) if x % 3 else 5.0 for x in range(1000)]
+    got = quality.kth_largest(spark.createDataFrame([(v,) for v in values], "v double"), "v", k)
+    assert got == (math.inf if k == 0 else -math.inf if k >= 1000 else sorted(values, reverse=True)[k - 1])
+
+
+# --- 4 secrets -------------------------------------------------------------------
+def test_base_spans_and_masking(docs, clashing, empty):
+    got = same_with_and_without_extras(lambda d: secrets.scan_secrets(d).select("doc_id", F.to_json("spans")), docs, clashing, empty)
+    assert sum(r[1] != "[]" for r in got) == 1
+    text = ROWS[17][1]
+    assert secrets.base_spans(text) == [(0, 0, 41), (9, 2, 41), (47, 1, 67)]
+    masked = secrets.mask_secrets(clashing)
+    assert masked.columns == clashing.columns
+    texts = {r.doc_id: r.text for r in masked.collect()}
+    assert texts[18] == '<assign>" and <access>' and texts[1] is None and texts[7] == ROWS[6][1]
+
+
+def test_base_patterns_letter_case_and_lengths():
+    import re
+
+    assert [s[1] for s in secrets.base_spans("PassWord: abcdef")] == [0]
+    assert secrets.base_spans("password: abcde") == []
+    assert secrets.base_spans("toKen = abcdefgh") == []  # a Kelvin sign is no k
+    assert secrets.base_spans("x" + "a" * 23) == [] and secrets.base_spans("x" + "a" * 24)[0][0] == 1
+    assert re.fullmatch(secrets.HEX, "0" * 24)
+
+
+def test_novel_strings_in_sensitive_context():
+    key = "Zk93hQ2xV7bLpT0sWmY4"
+    text = f"the private signing material is {key} here"
+    spans = secrets.novel_spans(text, [])
+    assert [text[a:b] for a, _, b in spans] == [key]
+    assert secrets.novel_spans(f"{key} {key} the private material is {key} {key}", []) == []  # its surroundings repeat it
+    assert secrets.novel_spans("the private internationalisation-of-things0 AWS_SECRET_ACCESS_KEY1", []) == []
+    assert secrets.novel_spans(f"nothing of that sort: {key}", []) == []
+
+
+# --- 5 language ID ---------------------------------------------------------------
+def test_language_id_on_held_out_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = d.where(language_id.held_out(F.col("doc_id")))
+    profiles = language_id.fit_profiles(d.where(~language_id.held_out(F.col("doc_id"))), rows_per_language=100)
+    got = language_id.identify(held, profiles, carry=("doc_id", "lang")).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_distance_is_the_out_of_place_measure():
+    texts = {"a": "abab abba baab", "b": "xyz zyx xxyz"}
+    ranked = {k: language_id.most_frequent(*language_id.ngram_counts(t), 500).tolist() for k, t in texts.items()}
+    p = language_id.Profiles.of(ranked, 50)
+    own = language_id.most_frequent(*language_id.ngram_counts("abba xy"), language_id.RANKED).tolist()
+    want = {k: sum(min(50, abs(i - r.index(c))) if c in r else 50 for i, c in enumerate(own)) for k, r in ranked.items()}
+    best = min(want, key=lambda k: (want[k], k))
+    assert p.predict("abba xy") == (best, pytest.approx(1 - want[best] / (50 * len(own))))
+
+
+def test_language_id_edges(docs, clashing, empty, monkeypatch):
+    profiles = language_id.fit_profiles(docs)
+    got = same_with_and_without_extras(lambda d: language_id.identify(d, profiles), docs, clashing, empty)
+    und = [r.doc_id for r in got if r.lang_pred == "und"]
+    assert sorted(und) == [1, 2, 3, 14]
+    assert language_id.fit_profiles(empty).predict("text") == ("und", 0.0)
+    whole = language_id.ngram_counts(ROWS[11][1])
+    monkeypatch.setattr(language_id, "WINDOW", 1000)
+    cut = language_id.ngram_counts(ROWS[11][1])
+    assert all((a == b).all() for a, b in zip(whole, cut))
+
+
+# --- 6 n-gram join ---------------------------------------------------------------
+def brute_components(rows, threshold=80, width=5):
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for i, t in rows:
+        w = [x for x in __import__("re").split("[\x20\x09-\x0d]+", (t or "").translate(table)) if x]
+        sets.append((i, frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()))
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if None not in (i, j) and a and b and 100 * len(a & b) >= threshold * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [(i, len(a), find(i)) for i, a in sets]
+
+
+def near_copies():
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for g in range(6):
+        base = [r.choice("abcdefghij") + str(r.randrange(30)) for _ in range(80)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(r.randrange(0, 6)):
+                w[r.randrange(80)] = "w" + str(r.randrange(1000))
+            rows.append((len(rows) * 3 % 1009, " ".join(w)))
+    return rows
+
+
+def test_ngram_join_edges(docs, clashing, empty):
+    got = same_with_and_without_extras(lambda d: ngram_join.ngram_join(d), docs, clashing, empty)
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], brute_components(ROWS))
+
+
+@pytest.mark.parametrize("salted", [8_192, 4])
+def test_ngram_join_against_brute_force(spark, monkeypatch, salted):
+    monkeypatch.setattr(ngram_join, "SALTED", salted)  # 4: frequent shingles are spread over salts
+    rows = near_copies()
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], brute_components(rows))
+
+
+def test_filters_lose_no_link():
+    rows = near_copies()
+    sets = [ngram_join.shingle_set(t.encode()) for _, t in rows]
+    for k, a in enumerate(sets):
+        for b in sets[:k]:
+            common = len(np.intersect1d(a, b))
+            apart = sum(int(x).bit_count() for x in (ngram_join.parities(a).view(np.uint64) ^ ngram_join.parities(b).view(np.uint64)))
+            assert apart <= len(a) + len(b) - 2 * common
+
+
+# --- 7 FLAC ----------------------------------------------------------------------
+PAYLOADS = [flac.payload_of(x) for x in (None, b"", b"\x00" * 192, bytes(range(256)) * 3, b"\xff\xf8\x14\x02" * 100, b"\x00\xff" * 300, "été ".encode() * 900, b"the quick brown fox " * 3000)]
+
+
+@pytest.mark.parametrize("order", [0, 1, 4, 8])
+def test_flac_round_trip(order):
+    streams = flac.FlacWriter(order).streams(PAYLOADS)
+    assert flac.FlacReader().payloads(streams) == PAYLOADS
+    assert [flac.decode_stream(s) for s in streams] == PAYLOADS
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(max_size=900), st.integers(0, 3))
+def test_flac_any_bytes(data, order):
+    payload = flac.payload_of(data)
+    stream = flac.FlacWriter(order).streams([payload])[0]
+    assert flac.FlacReader().payloads([stream]) == [payload]
+    info, points, first = flac.metadata(stream)
+    assert info["samples"] == len(payload) and info["bits"] == 8 and points[0][0] == 0
+    assert hashlib.md5(bytes(b ^ 0x80 for b in payload)).digest() == info["md5"]
+
+
+def test_flac_damage_is_found():
+    stream = flac.FlacWriter().streams([PAYLOADS[-1]])[0]
+    for at in (len(stream) // 2, len(stream) - 1):
+        bad = bytearray(stream)
+        bad[at] ^= 4
+        with pytest.raises(flac.FlacError):
+            flac.FlacReader().payloads([bytes(bad)])
+
+
+def test_flac_seek_points_start_frames():
+    stream = flac.FlacWriter().streams([PAYLOADS[-1]])[0]
+    for sample in (0, 10_000, len(PAYLOADS[-1]) - 1):
+        first, at = flac.seek(stream, sample)
+        x, _ = flac.decode_frame(stream, at, 8)
+        assert first <= sample and bytes((v + 128) & 255 for v in x) == PAYLOADS[-1][first : first + flac.BLOCK]
+
+
+def test_flac_columns(docs, clashing, empty):
+    got = same_with_and_without_extras(lambda d: flac.read_flac(flac.store_flac(d)), docs, clashing, empty)
+    same([(r.doc_id, bytes(r.payload)) for r in got], [(i, flac.payload_of((t or "").encode())) for i, t in ROWS])
+    blocks = flac.pcm_blocks(flac.store_flac(docs.where("doc_id = 12")), samples=960).orderBy("sample_offset").collect()
+    assert b"".join(bytes(b.pcm) for b in blocks) == flac.payload_of(ROWS[11][1].encode())
+    assert [b.sample_offset for b in blocks] == list(range(0, 960 * len(blocks), 960))
+
+
+# --- 8 LM ------------------------------------------------------------------------
+def lm_tokens(t):
+    return (t or "").encode().lower().split() + [b" end"]
+
+
+def test_lm_scores(docs, clashing, empty):
+    train = F.col("doc_id") % 2 == 1
+    a, b = (lm_score.lm_score(d, train).collect() for d in (docs, clashing))
+    for got in (a, b):
+        c = Counter(w for i, t in ROWS if i is not None and i % 2 for w in lm_tokens(t))
+        n, v = sum(c.values()), len(c)
+        want = [(i, len(lm_tokens(t)), sum(c[w] > 0 for w in lm_tokens(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in lm_tokens(t)), 6)) for i, t in ROWS]
+        same([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], want)
+        assert all(r.score < 0 for r in got)
+    assert lm_score.lm_score(empty, train).collect() == []
+    assert {r.train_tokens for r in lm_score.lm_score(docs, F.lit(False)).collect()} == {0}
+
+
+def test_lm_beats_the_unigram_base_on_held_out_documents(spark):
+    r = lm_score.op8_maxent_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert r[0] / r[2] > r[1] / r[2] + 0.02
+
+
+def test_lm_token_probabilities_add_up_to_one():
+    counts = [(h, 50 - h % 40) for h in range(1, 300)]
+    m = lm_score.Model.start(sorted(counts, key=lambda x: -x[1]), sum(c for _, c in counts), len(counts))
+    r = np.random.default_rng(1)
+    m.class_weights += r.normal(size=m.class_weights.shape).astype(np.float32)
+    m.word_weights += r.normal(size=m.word_weights.shape).astype(np.float32)
+    tokens = np.array([h for h, _ in counts] + [10_000], np.uint64)
+    features = np.repeat(lm_score.history_features(np.array([7, 8, 9], np.uint64), np.array([0]))[:, 2:], len(tokens), axis=1)
+    c = np.array([k for _, k in counts] + [0.0])
+    assert (10 ** m.log10(features, m.ranks(tokens), c)).sum() == pytest.approx(1, abs=1e-3)
+
+
+# --- 10 token counts -------------------------------------------------------------
+def test_token_counts_add_up(docs, clashing, empty):
+    lib = Tokenizer.from_file(BYTE)
+    for rule in token_counts.RULES:
+        got = same_with_and_without_extras(lambda d: token_counts.token_counts(d, BYTE, rule), docs, clashing, empty)
+        sums = Counter()
+        for r in got:
+            sums[r.doc_id] += r.n_tokens
+        want = Counter()
+        for i, t in ROWS:
+            want[i] += len(lib.encode(t or "", add_special_tokens=False).ids)
+        assert {k: round(v, 6) for k, v in sums.items() if v} == {k: v for k, v in want.items() if v}
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXT, st.lists(st.integers(1, 40), max_size=6), st.sampled_from(token_counts.RULES))
+def test_attribution_against_brute_force(text, cuts, rule):
+    own, lib = chunk_pair()
+    offsets = lib.encode(text, add_special_tokens=False).offsets
+    starts = own.spans(text)
+    ends = token_counts.token_ends(starts, len(text))
+    bounds = np.array(sorted({0, len(text), *(c for c in cuts if c < len(text))}) if text else [0, 0])
+    got, crossing = token_counts.attribute(starts, ends, bounds, rule)
+    want, crossed = [0.0] * (len(bounds) - 1), [0] * (len(bounds) - 1)
+    for (a, _), b in zip(offsets, ends):
+        parts = [max(0, min(b, hi) - max(a, lo)) for lo, hi in zip(bounds, bounds[1:])]
+        hit = [k for k, n in enumerate(parts) if n]
+        crossed[hit[0]] += len(hit) > 1
+        for k in hit:
+            want[k] += parts[k] / (b - a) if rule == "split" else float(k == hit[0 if rule == "first" else -1])
+    assert got.tolist() == pytest.approx(want) and crossing.tolist() == crossed
+
+
+def test_field_counts(spark):
+    df = spark.createDataFrame([(1, "user", "hello world"), (2, None, "x")], "doc_id long, role string, text string")
+    got = token_counts.field_counts(df, BYTE, ["role", "text"]).orderBy("doc_id", "section").collect()
+    assert [(r.doc_id, r.section, r.start, r.end, r.n_tokens) for r in got] == [(1, -1, None, None, 1.0), (1, 0, 0, 4, 1.0), (1, 1, 5, 16, 2.0), (2, -1, None, None, 1.0), (2, 0, 0, 0, 0.0), (2, 1, 1, 2, 1.0)]
+    with pytest.raises(ValueError):
+        token_counts.token_counts(df, BYTE, "middle")
