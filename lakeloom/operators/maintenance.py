@@ -128,6 +128,14 @@ def reachable(table: Table) -> set[str]:
     return out
 
 
+def _companion(path: str, needed: set[str], folders: set[str]) -> bool:
+    """Whether a file is a checksum of a needed file, or a marker in a folder that holds one."""
+    folder, _, name = path.rpartition("/")
+    if name.startswith(".") and name.endswith(".crc"):
+        return f"{folder}/{name[1:-4]}" in needed or name == "._SUCCESS.crc" and folder in folders
+    return name == "_SUCCESS" and any(f == folder or f.startswith(folder + "/") for f in folders)
+
+
 def remove_orphans(table: Table, older_than_ms: int = 3 * 86_400_000, dry_run: bool = False) -> list[str]:
     """Removes files below the location that no snapshot needs and that are older than an age.
 
@@ -136,10 +144,11 @@ def remove_orphans(table: Table, older_than_ms: int = 3 * 86_400_000, dry_run: b
     """
     table.refresh()
     needed, now, out = reachable(table), M.now_ms(), []
+    folders = {p.rsplit("/", 1)[0] for p in needed}
     for path, _, modified in storage.list_files(table.location):
         own = storage.normalise(path)
         rest = own.removeprefix(table.location + "/")
-        if rest.startswith("checkpoints/") or rest.startswith("metadata/v") or own in needed:
+        if rest.startswith("checkpoints/") or rest.startswith("metadata/v") or own in needed or _companion(own, needed, folders):
             continue
         if now - modified >= older_than_ms:
             out.append(own)

@@ -138,8 +138,12 @@ def _may_match(op: str, value: Any, low: Any, high: Any) -> bool:
 
 def _partition_may_match(op: str, value: Any, transform: str, kind: dict, stored: Any, bucket: Callable[[Any, int, dict], int]) -> bool:
     name, n = transforms.parse(transform)
-    if name == "void" or stored is None:
-        return name == "void"  # null never satisfies a comparison
+    if name == "void":
+        return True
+    if stored is None and kind["type"] in ("string", "uuid") and name in ("identity", "truncate"):
+        stored = ""  # folders name empty strings and nulls alike
+    if stored is None:
+        return False  # null never satisfies a comparison
     values = value if op == "in" else [value]
     if name == "bucket":
         return op not in ("=", "in") or any(bucket(v, n, kind) == stored for v in values if v is not None)

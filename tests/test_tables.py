@@ -26,7 +26,7 @@ def make(spark, tmp_path, ddl="id long, name string, score int", rows=(), name="
     schema = T.StructType.fromDDL(ddl)
     t = create_table(spark, str(tmp_path / name), Schema.of(schema, more.pop("identifiers", ()), required=more.pop("required", ())), **more)
     if rows:
-        t.append(spark.createDataFrame(rows, schema))
+        t.append(spark.createDataFrame(rows, schema).coalesce(1))
     return t
 
 
@@ -297,13 +297,13 @@ def test_pruned_scans_equal_full_scans(spark, tmp_path):
     zero = dt.datetime(1969, 12, 25)
     rows = [(i if i % 11 else None, r.choice(["ab", "abc", "b", "", None]), zero + dt.timedelta(hours=r.randrange(400)), r.choice([1.5, -0.0, float("nan"), None, 9.0])) for i in range(120)]
     ddl = "id long, s string, ts timestamp_ntz, x double"
-    for by in ([("ts", "day"), ("s", "truncate[2]")], [("id", "bucket[4]"), ("ts", "month")], [("ts", "hour")], ["s"], [("ts", "year"), ("id", "void")]):
-        t = make(spark, tmp_path, ddl, partition_by=by, name=str(by))
+    for n, by in enumerate([[("ts", "day"), ("s", "truncate[2]")], [("id", "bucket[4]"), ("ts", "month")], [("ts", "hour")], ["s"], [("ts", "year"), ("id", "void")]]):
+        t = make(spark, tmp_path, ddl, partition_by=by, name=f"t{n}")
         for k in range(2):
             t.append(spark.createDataFrame(rows[k * 60 : k * 60 + 60], ddl))
         plain = spark.createDataFrame(rows, ddl)
-        for c in ("id = 34", "id < 10", "s = 'abc'", "s >= 'ab' AND s < 'b'", "ts < TIMESTAMP_NTZ '1970-01-01'", "ts >= TIMESTAMP_NTZ '1970-01-02 05:00:00' AND ts < TIMESTAMP_NTZ '1970-01-03'", "x > 2", "x = 0.0", "s IS NULL", "id IN (3, 77) AND s IS NOT NULL", "x <= 9"):
-            assert values(t.scan(condition=c)) == values(plain.where(c)), (by, c)
+        for c in ("id = 34", "id < 10", "s = 'abc'", "s >= 'ab' AND s < 'b'", "ts < TIMESTAMP_NTZ '1970-01-01'", "ts >= TIMESTAMP_NTZ '1970-01-02 05:00:00' AND ts < TIMESTAMP_NTZ '1970-01-03'", "x > 2", "s = ''", "s < 'a'", "s IS NULL", "id IN (3, 77) AND s IS NOT NULL", "x <= 9"):
+            assert str(values(t.scan(condition=c))) == str(values(plain.where(c))), (by, c)
         assert len(t.plan("id < 0")) == 0
     assert any(len(t.plan(c)) < len(t.plan()) for c in ("ts < TIMESTAMP_NTZ '1970-01-01'",))
 
@@ -429,7 +429,7 @@ def test_audit_and_command_line(spark, tmp_path, capsys):
 def test_exports(spark, tmp_path):
     t = make(spark, tmp_path, rows=[(1, "a", 1), (2, "b", 2)])
     assert t.to_arrow().num_rows == 2 and len(t.to_pandas()) == 2 and t.to_spark().count() == 2
-    assert t.to_duckdb().aggregate("sum(score)").fetchone()[0] == 3
+    assert t.to_duckdb().aggregate("sum(score)").fetchall() == [(3,)]
     assert t.create_view("exported") and spark.sql("SELECT max(id) FROM exported").first()[0] == 2
     assert t.files().select(F.sum("record_count")).first()[0] == 2 and t.manifests().count() == 1 and t.snapshots().count() == 1
     assert __version__ and "fields=['id', 'name', 'score']" in repr(t) and len(t.uuid) == 36
