@@ -227,7 +227,7 @@ class MergeBuilder:
                     if clause.action == "update":
                         own = F.col("__clause") == k
                         value = F.when(own, self._values(clause, True)) if value is None else value.when(own, self._values(clause, True))
-                picked = t.join(s, on).select("t.*", "s.*") if False else t.join(s, on).withColumn("__clause", acting).where("__clause >= 0")
+                picked = t.join(s, on).withColumn("__clause", acting).where("__clause >= 0")
                 kinds = F.element_at(F.array(*(F.lit(c.action) for c in self.matched)), F.col("__clause") + 1)
                 row = value if value is not None else F.lit(None).cast(table.schema.spark())
                 picked = picked.select(F.col(scan.FILE), F.col(scan.POS), kinds.alias("__action"), row.alias("__row"))

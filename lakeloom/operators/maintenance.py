@@ -5,8 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
-from pyspark.sql import functions as F
-
 from ..functions import transforms
 from ..plans import metadata as M
 from ..plans import scan
@@ -169,6 +167,3 @@ def estimate(table: Table) -> dict[str, int]:
     """Files, small files and files with deletes, for a scheduler's threshold."""
     tasks = table.plan()
     return {"files": len(tasks), "small_files": sum(t.data.file.file_size < TARGET_SIZE for t in tasks), "files_with_deletes": sum(bool(t.deletes) for t in tasks)}
-
-
-__all__ = ["CompactResult", "compact", "estimate", "expire_snapshots", "needs_compaction", "remove_orphans", "vacuum", "F"]

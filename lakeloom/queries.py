@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from .errors import CommitConflict
 from .operators import dml
 from .plans.schema import Schema, simple
-from .plans.transaction import Transaction
 from .sources.storage import working_folder
 from .streaming.sink import write_stream
 from .streaming.source import stream_changes
@@ -535,9 +534,6 @@ def concurrent_appends(s, d):
 def inherited(name: str, sql: str, tables: list[str], spark_sql: str | None = None) -> None:
     """Registers SQL that runs over engine tables in Spark and over the raw files in DuckDB."""
 
-    def run(s: SparkSession, d: str) -> DataFrame:
-        return s.sql(spark_sql or sql, **{})
-
     def build(s: SparkSession, d: str) -> DataFrame:
         text = spark_sql or sql
         for t in tables:
@@ -545,7 +541,6 @@ def inherited(name: str, sql: str, tables: list[str], spark_sql: str | None = No
             text = text.replace(f"@{t}", f"lakeloom_{t}")
         return s.sql(text)
 
-    del run
     oracle = sql
     for t in tables:
         oracle = oracle.replace(f"@{t}", t)
@@ -648,6 +643,3 @@ def latest_per_key(s, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by brand over a table written in two appends."""
     return append_two_snapshots_revenue_by_brand(spark, sf_dir)
-
-
-__all__ = ["ORACLES", "QUERIES", "Transaction", "flagship"]

@@ -12,7 +12,6 @@ from typing import TYPE_CHECKING
 from ..errors import NamespaceAlreadyExists, NamespaceNotEmpty, NamespaceNotFound, TableAlreadyExists, TableNotFound
 from ..plans.metadata import TableMetadata
 from ..plans.partition import PartitionSpec
-from ..plans.schema import Schema
 from . import storage
 
 if TYPE_CHECKING:
@@ -217,6 +216,3 @@ class FileCatalog(Catalog):
     def _save(self, state: dict) -> None:
         n = state.pop("version") + 1
         storage.write_new(f"{self.warehouse}/_catalog/c{n}.json", json.dumps(state, indent=1))
-
-
-__all__ = ["Catalog", "FileCatalog", "InMemoryCatalog", "Schema", "TableIdentifier", "VersionStore"]
