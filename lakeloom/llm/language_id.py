@@ -96,8 +96,9 @@ class Profiles:
         own = most_frequent(codes, counts, RANKED)
         at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
         known = self.codes[at] == own
-        places = np.abs(self.ranks[at[known]] - np.flatnonzero(known)[:, None])
-        distance = np.minimum(places, self.size).sum(axis=0) + self.size * int((~known).sum())
+        ranks = self.ranks[at[known]]
+        places = np.minimum(np.abs(ranks - np.flatnonzero(known)[:, None]), self.size)
+        distance = np.where(ranks < self.size, places, self.size).sum(axis=0) + self.size * int((~known).sum())
         best = int(distance.argmin())
         return self.languages[best], 1.0 - float(distance[best]) / (self.size * len(own))
 
