@@ -36,6 +36,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 REACH, CONTEXT = 48, 1_024
 #: A candidate is reported from this share of marginal bytes and bits of entropy per character on.
 LEAST_NOVELTY, LEAST_BITS = 0.8, 3.0
+#: Digits, and changes between lower case, upper case, digits and signs, that a candidate has at least.
+LEAST_DIGITS, LEAST_CHANGES = 2, 5
 
 # Identifiers that are common in code and configuration.
 IDENTIFIERS = " ".join(
@@ -75,6 +77,13 @@ def bits_per_character(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
+def _mixed(s: str) -> bool:
+    """Whether a string changes between kinds of characters as keys do and identifiers rarely do."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "" for c in s]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return kinds.count("d") >= LEAST_DIGITS and len(set(kinds) - {"", "d"}) > 0 and changes >= LEAST_CHANGES
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of incompressible strings in a sensitive context that no base span touches."""
     lowered = text.lower()
@@ -88,7 +97,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
                 continue
             end = CANDIDATE.match(text, start).end()  # whole, also beyond the reach
             s = text[start:end]
-            if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or bits_per_character(s) < LEAST_BITS:
+            if not _mixed(s) or bits_per_character(s) < LEAST_BITS:
                 continue
             if any(a < end and start < b for a, _, b in taken):
                 continue
