@@ -1,33 +1,31 @@
 """Operator 6, n-gram Jaccard join: rare-first prefix filtering, verified once per pair.
 
 1. *Signatures.*  One pass over the whole texts gives each document's set of
-   shingle hashes, a signature of the set and the counts of the set over 16
-   ranges of the hash space.  The same pass counts every shingle of the corpus
-   in a sketch of 2^22 counters.  Documents with equal sets form one node, so
+   shingle hashes, a signature of the set and its parities: whether it has an
+   odd number of hashes in each of 256 ranges of the hash space.  The same pass
+   counts every shingle of the corpus in a sketch of 2^22 counters.  Documents with equal sets form one node, so
    copies never meet each other again.
 2. *Prefixes.*  Shingles are ordered by (count, hash), rare first; the counters
    fix one order for all documents, which is all that exactness needs.  Two
    sets with the wanted similarity share a shingle among the first
-   n - ceil(t n) + 1 of each.  Only these prefix shingles are shuffled, dealt by
-   (shingle, salt): a shingle far above the mean count is spread over salts.
+   n - ceil(t n) + 1 of each.  Only these prefix shingles are shuffled; a shingle
+   far above the mean count is spread over salts.
    Shingles that only one node has are dropped in the sorted stream.
-3. *Pairs.*  Pairs pass the length and the positional filter.  First each node
-   meets a few pivots of its shingle; components of the verified links then
-   show what is settled.  After that every node meets all others of its
+3. *Pairs.*  Pairs pass the length filter, the positional filter and the suffix
+   filter: two sets differ in at least as many hashes as ranges in parity, so
+   too many of these rule a link out.  First each node meets a few pivots of
+   its shingle; components of the verified links then show what is settled.  After that every node meets all others of its
    shingle that are not in its component yet, except that members of a
    shingle's largest component don't meet each other.  So all links between
    components are found, while a group of near copies costs a few pairs a node.
-4. *Verification.*  Distinct pairs pass the suffix filter (the counts over hash
-   ranges bound the difference from below); then the sets are joined and their
-   intersection is counted, once per pair.
+4. *Verification.*  The sets of distinct pairs are joined and their intersection
+   is counted, once per pair.
 
 Shingles are compared by 64-bit hashes, nodes by (64-bit signature, size).
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,29 +39,18 @@ from .components import components
 
 WORDS, THRESHOLD = 5, 80
 #: Counters of the sketch and slices it is summed in; ranges of the suffix filter.
-SKETCH_BITS, SLICES, RANGES = 22, 64, 16
+SKETCH_BITS, SLICES, RANGE_BITS = 22, 64, 8
 #: Nodes a salted shingle has in one task, about; pivots a shingle has in each round.
-SALTED, PIVOTS = 8_192, (4, 16)
+SALTED, PIVOTS = 8_192, (4,)
 #: Partial sketches that one task adds up; node ids that may be broadcast (8 bytes each).
 FAN_IN, BROADCAST_IDS = 256, 2_000_000
-CACHE_WORDS = 1_000_000
+ODD = ("o0", "o1", "o2", "o3")
+#: Bounds of the packed word: shingles of one text, salts of one shingle.
+MOST_SHINGLES, MOST_SALTS = (1 << 28) - 1, 126
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)], np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h
-        return h
-
-
-@lru_cache(maxsize=1)
-def word_hashes() -> _WordHashes:
-    return _WordHashes()
-
-
 def words_of(text: bytes) -> list[bytes]:
     """Words of a UTF-8 text: A-Z in lower case, split at ASCII white space."""
     return text.lower().split()
@@ -80,12 +67,15 @@ def shingle_set(text: bytes | None, width: int = WORDS) -> np.ndarray:
     words = words_of(text) if text else []
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(width, len(h))
     total = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         total += h[i : len(h) - k + 1 + i] * _MULTIPLIERS[i % 64] + (h[i : len(h) - k + 1 + i] >> np.uint64(32 - i % 8))
-    return np.unique(_mixed(total))
+    total = np.sort(_mixed(total))
+    fresh = np.ones(len(total), bool)
+    np.not_equal(total[1:], total[:-1], out=fresh[1:])
+    return total[fresh]
 
 
 def prefix_length(n: int, threshold: int) -> int:
@@ -96,6 +86,12 @@ def signature(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Four 64-bit words: for each range of the hash space, whether an odd number of hashes lies in it."""
+    odd = np.bincount((hashes >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _pack(counts: np.ndarray) -> bytes:
     return zstandard.compress(counts.astype("<u4").tobytes(), 3)
 
@@ -105,27 +101,25 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, width: int, id_type: str) -> DataFrame:
-    """Rows with slice null: (doc_id, n, sig, parts) of a document; others: (task, slice, blob) of a task's sketch."""
+    """Rows with slice null: (doc_id, n, sig, o0..o3) of a document; others: (task, slice, blob) of a task's sketch."""
 
     def body(slices):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for rows in slices:
-            out = {"doc_id": [], "n": [], "sig": [], "parts": []}
-            seen = []
+            out: dict[str, list] = {k: [] for k in ("doc_id", "n", "sig", *ODD)}
             for doc_id, text in zip(rows["doc_id"], rows["text"]):
                 s = shingle_set(text, width)
-                seen.append(s)
                 out["doc_id"].append(doc_id)
                 out["n"].append(len(s))
                 out["sig"].append(signature(s) if len(s) else None)
-                out["parts"].append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES).tolist() if len(s) else None)
-            sketch += np.bincount((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield out | {k: [None] * len(seen) for k in ("task", "slice", "blob")}
+                for k, word in zip(ODD, parities(s).tolist()):
+                    out[k].append(word)
+                np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            yield out | {k: [None] * len(out["n"]) for k in ("task", "slice", "blob")}
         part = (1 << SKETCH_BITS) // SLICES
-        none = [None] * SLICES
-        yield {"doc_id": none, "n": none, "sig": none, "parts": none, "task": [TaskContext.get().partitionId()] * SLICES, "slice": list(range(SLICES)), "blob": [_pack(sketch[k * part : (k + 1) * part]) for k in range(SLICES)]}
+        yield dict.fromkeys(("doc_id", "n", "sig", *ODD), [None] * SLICES) | {"task": [TaskContext.get().partitionId()] * SLICES, "slice": list(range(SLICES)), "blob": [_pack(sketch[k * part : (k + 1) * part]) for k in range(SLICES)]}
 
-    ddl = f"doc_id {id_type}, n long, sig long, parts array<int>, task int, slice int, blob binary"
+    ddl = f"doc_id {id_type}, n long, sig long, {', '.join(f'{k} long' for k in ODD)}, task int, slice int, blob binary"
     return map_slices(docs, ddl, {"doc_id": "doc_id", "text": "text"}, body)
 
 
@@ -148,7 +142,7 @@ def _add_sketches(partial: DataFrame, tasks: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, sketch, mean: float, width: int, threshold: int) -> DataFrame:
-    """(h, salt, salts, sig, n, pos) of every prefix shingle that another document may have, too."""
+    """(key, sig, meta) of every prefix shingle that another document may have, too; ``_packed`` says what they hold."""
     top = mean + 6 * mean**0.5 + SALTED
 
     def body(slices):
@@ -168,59 +162,72 @@ def _prefixes(docs: DataFrame, sketch, mean: float, width: int, threshold: int)
                 first = np.lexsort((s, c))[: prefix_length(n, threshold)]
                 pos = np.flatnonzero(c[first] > 1)  # a counter of 1: no other document has it
                 first = first[pos]
-                salts = np.where(c[first] > top, -(-(c[first] - mean) // SALTED), 1).astype(np.int32)
-                parts.append((s[first], np.full(len(first), key[0], np.int64), np.full(len(first), n, np.int32), pos, salts))
+                if n > MOST_SHINGLES:
+                    raise ValueError(f"a text has {n} shingles; at most {MOST_SHINGLES} can be joined")
+                salts = np.clip(-(-(c[first] - mean) // SALTED), 1, MOST_SALTS).astype(np.uint64)
+                salt = np.where(c[first] > top, np.uint64(key[0] % (1 << 64)) % salts + np.uint64(1), np.uint64(0))
+                parts.append((s[first] ^ salt * _SPREAD, np.full(len(first), key[0], np.int64), _packed(n, pos, salt)))
             if parts:
-                h, sig, n, pos, salts = (np.concatenate(x) for x in zip(*parts))
-                yield {"h": pa.array(h.view(np.int64)), "salt": pa.array((sig.view(np.uint64) % salts.astype(np.uint64)).astype(np.int32)), "salts": pa.array(salts), "sig": pa.array(sig), "n": pa.array(n), "pos": pa.array(pos.astype(np.int32))}
+                key, sig, meta = (np.concatenate(x) for x in zip(*parts))
+                yield {"key": pa.array(key.view(np.int64)), "sig": pa.array(sig), "meta": pa.array(meta.view(np.int64))}
 
-    return map_slices(docs, "h long, salt int, salts int, sig long, n int, pos int", {"text": "text"}, body)
+    return map_slices(docs, "key long, sig long, meta long", {"text": "text"}, body)
+
+
+def _packed(n: int, pos: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A set's size, a position and a salt (0: the shingle isn't salted) in one word; a salted key is the shingle mixed with its salt."""
+    return np.uint64(n << 35) | pos.astype(np.uint64) << np.uint64(7) | salt
 
 
 def _shared_only(prefixes: DataFrame) -> DataFrame:
-    """Drops repeated rows, and shingles of one node only, from the sorted stream; holds one batch and one row."""
+    """(h, sig, n, pos) without repeated rows, and without unsalted shingles of one node only; holds one batch and one row."""
 
     def run(batches):
-        pending, open_key, last = None, None, None  # a row that may be alone; the open run's key if it counts; the last row kept or pending
+        pending, open_key, last = None, None, None  # a row that may be alone; the open run's key if it counts; the last row seen
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             if pending is not None:
                 cols = [np.concatenate((p, c)) for p, c in zip(pending, cols)]
                 pending, last = None, None
-            h, salt, salts, sig, n, _ = cols
-            new_run = np.ones(len(h), bool)
-            new_run[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = new_run[1:] | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])
-            key = (int(h[0]), int(salt[0]))
-            if last is not None and (*key, int(sig[0]), int(n[0])) == last:
+            key, sig, meta = cols
+            size = meta >> 35
+            new_run = np.ones(len(key), bool)
+            new_run[1:] = key[1:] != key[:-1]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = new_run[1:] | (sig[1:] != sig[:-1]) | (size[1:] != size[:-1])
+            if last == (int(key[0]), int(sig[0]), int(size[0])):
                 fresh[0] = False
             run_id = np.cumsum(new_run) - 1
-            size = np.bincount(run_id, fresh)
-            counts = size >= 2
-            counts |= salts[new_run] > 1
-            if open_key == key:
+            counts = (np.bincount(run_id, fresh) >= 2) | (meta[new_run] & 127 > 0)
+            if open_key == int(key[0]):
                 counts[0] = True
-            tail = run_id == run_id[-1]
-            last = (int(h[-1]), int(salt[-1]), int(sig[-1]), int(n[-1]))
-            open_key = (last[0], last[1]) if counts[-1] else None
-            keep = fresh & counts[run_id]
-            if not counts[-1] and fresh[tail].any():
-                at = int(np.flatnonzero(tail & fresh)[0])
+            last = (int(key[-1]), int(sig[-1]), int(size[-1]))
+            open_key = last[0] if counts[-1] else None
+            tail = (run_id == run_id[-1]) & fresh
+            if not counts[-1] and tail.any():
+                at = int(np.flatnonzero(tail)[0])
                 pending = [c[at : at + 1] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (h, sig, n, cols[5])], names=["h", "sig", "n", "pos"])
+            keep = fresh & counts[run_id]
+            key, sig, meta = (c[keep] for c in cols)
+            h = (key.view(np.uint64) ^ (meta & 127).astype(np.uint64) * _SPREAD).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sig), pa.array((meta >> 35).astype(np.int32)), pa.array((meta >> 7 & MOST_SHINGLES).astype(np.int32))], names=["h", "sig", "n", "pos"])
 
-    return prefixes.repartition("h", "salt").sortWithinPartitions("h", "salt", "sig", "n").mapInArrow(run, "h long, sig long, n int, pos int")
+    return prefixes.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(run, "h long, sig long, n int, pos int")
 
 
 def _passes(threshold: int):
-    """Length and positional filter of two postings a and b of one shingle."""
+    """Length, positional and suffix filter of two postings a and b of one shingle.
+
+    Sets that link differ in at most |a| + |b| - 2 ceil(t (|a| + |b|) / (100 + t)) hashes.
+    """
     least = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")).cast("long")
     sizes = (F.col("a.n") + F.col("b.n")).cast("long")
     length = (F.col("a.n").cast("long") * 100 >= F.col("b.n").cast("long") * threshold) & (F.col("b.n").cast("long") * 100 >= F.col("a.n").cast("long") * threshold)
-    return length & ((100 + threshold) * least >= threshold * sizes)
+    apart = sum((F.bit_count(F.col(f"a.{k}").bitwiseXOR(F.col(f"b.{k}"))) for k in ODD), F.lit(0))
+    common = F.floor((threshold * sizes + (99 + threshold)) / (100 + threshold))
+    return length & ((100 + threshold) * least >= threshold * sizes) & (apart <= sizes - 2 * common)
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -229,17 +236,12 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(pick("a.node", "b.node").alias("p"), pick("a.n", "b.n").alias("p_n"), pick("b.node", "a.node").alias("q"), pick("b.n", "a.n").alias("q_n")).distinct()
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(p, q) of the pairs that link: suffix filter, then the intersection itself."""
-    side = lambda df, k, col: df.select(F.col("node").alias(k), F.col(col).alias(f"{k}_{col}"))
-    near = pairs.join(side(nodes, "p", "parts"), "p").join(side(nodes, "q", "parts"), "q")
-    sizes = (F.col("p_n") + F.col("q_n")).cast("long")
-    apart = F.aggregate(F.zip_with("p_parts", "q_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda got, x: got + x)
-    # Sets that link differ in at most |a| + |b| - 2 ceil(t (|a| + |b|) / (100 + t)) shingles.
-    near = near.where(apart <= sizes - 2 * F.ceil(threshold * sizes / (100 + threshold) - 1e-9)).select("p", "q", "p_n", "q_n")
-    both = near.join(side(sets, "p", "hashes"), "p").join(side(sets, "q", "hashes"), "q")
+def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(p, q) of the pairs that link, by their sets' intersection."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"{k}_hashes"))
+    both = pairs.join(side("p"), "p").join(side("q"), "q")
     common = F.size(F.array_intersect("p_hashes", "q_hashes")).cast("long")
-    return both.where(100 * common >= threshold * (sizes - common)).select("p", "q").distinct()
+    return both.where((100 + threshold) * common >= threshold * (F.col("p_n") + F.col("q_n")).cast("long")).select("p", "q").distinct()
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -258,45 +260,42 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
 
     described = scratch.keep(_describe(rows, width, id_type), "described")
-    own = described.where("slice IS NULL").select("doc_id", "n", "sig", "parts")
+    own = described.where("slice IS NULL").select("doc_id", "n", "sig", *ODD)
     partial = described.where("slice IS NOT NULL").select("task", "slice", "blob")
     tasks = (partial.agg(F.max("task")).first()[0] or 0) + 1
     sketch = _add_sketches(partial, tasks)
     mean = float(sketch.sum(dtype=np.float64) / len(sketch))
 
-    nodes = scratch.keep(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("node"), F.first("parts").alias("parts")), "nodes")
+    nodes = scratch.keep(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("node"), *(F.first(k).alias(k) for k in ODD)), "nodes")
     shared = spark.sparkContext.broadcast(sketch)  # 16 MB, whatever the input
     postings = scratch.keep(_shared_only(_prefixes(rows.where("doc_id IS NOT NULL"), shared, mean, width, threshold)), "shared")
-    postings = scratch.keep(postings.join(nodes.select("sig", "n", "node"), ["sig", "n"]).select("h", "node", "n", "pos"), "postings")
+    postings = scratch.keep(postings.join(nodes, ["sig", "n"]).select("h", "node", "n", "pos", *ODD), "postings")
     scratch.drop("shared")
     spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files that no later step reads
 
-    wanted = scratch.keep(postings.select("node").distinct(), "wanted")
-    ids = wanted.withColumnRenamed("node", "doc_id")
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-
     def to_sets(slices):
         for part in slices:
             yield {"node": part["doc_id"], "hashes": [shingle_set(t, width).view(np.int64) for t in part["text"]]}
 
-    sets = scratch.keep(map_slices(rows.join(ids, "doc_id", "left_semi"), f"node {id_type}, hashes array<bigint>", {"doc_id": "doc_id", "text": "text"}, to_sets), "sets")
-    sizes = nodes.join(wanted, "node", "left_semi").select("node", "parts")
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        """(node, hashes) of the nodes that occur in pairs; only their texts go to Python again."""
+        ids = scratch.keep(pairs.select(F.col("p").alias("doc_id")).union(pairs.select("q")).distinct(), f"{name}-ids")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return scratch.keep(map_slices(rows.join(ids, "doc_id", "left_semi"), f"node {id_type}, hashes array<bigint>", {"doc_id": "doc_id", "text": "text"}, to_sets), name)
 
     links = None
-    settled = None
     for k, pivots in enumerate((*PIVOTS, None)):
         here = postings.withColumn("label", F.col("node"))
         if links is not None:
             settled = scratch.keep(components(links, scratch, f"stars{k}"), f"labels{k}")
-            here = postings.join(settled, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("label"))
+            here = postings.join(settled, "node", "left").select("h", "node", "n", "pos", *ODD, F.coalesce("root", "node").alias("label"))
             ranked = here.groupBy("h", "label").agg(F.count(F.lit(1)).alias("rows"))
             main = ranked.groupBy("h").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
             here = scratch.keep(here.join(main.select("h", "main"), "h"), f"open{k}")
         order = F.xxhash64("node", F.lit(k))
         if pivots:
-            some = here.groupBy("h", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "label")).alias("best"))
-            others = some.select("h", "best.node", "best.n", "best.pos", "best.label")
+            some = here.groupBy("h", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "label", *ODD)).alias("best"))
+            others = some.select("h", *(f"best.{c}" for c in ("node", "n", "pos", "label", *ODD)))
         else:
             others = here
         minor = here if links is None else here.where("label <> main")
@@ -306,7 +305,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = found.join(tried, ["p", "q"], "left_anti")
         found = scratch.keep(found, f"pairs{k}")
         tried = found.select("p", "q") if links is None else tried.unionByName(found.select("p", "q"))
-        more = scratch.keep(_verify(found, sizes, sets, threshold), f"links{k}")
+        sets = sets_of(found, f"sets{k}")
+        more = scratch.keep(_verify(found, sets, threshold), f"links{k}")
+        scratch.drop(f"sets{k}")
         links = more if links is None else links.unionByName(more)
 
     # An id with several texts is one document: its classes are joined by the id itself.
