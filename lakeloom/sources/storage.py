@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from urllib.parse import quote, unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 _SCHEME = re.compile(r"^([a-z][a-z0-9+.-]*):", re.I)
@@ -79,7 +80,12 @@ def write_new(path: str, text: str) -> None:
     jvm, fs, p = _hadoop(path)
     if fs.exists(p):
         raise FileExistsError(path)
-    out = fs.create(p, False)
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            raise FileExistsError(path) from e
+        raise
     out.write(bytearray(text.encode()))
     out.close()
 
@@ -142,4 +148,9 @@ def list_files(folder: str) -> list[tuple[str, int, int]]:
 def working_folder(spark: SparkSession, what: str) -> str:
     """A new folder for tables that a query builds: in the cluster's shared folder, or a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeloom-")
-    return normalise(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}")
+    folder = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)  # frames may still read it, so it goes when the application ends
+    return normalise(folder)
