@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_slices
-from .tokenizer import WHITE_SPACE, ChunkCache
+from .tokenizer import WHITE_SPACE, ChunkCache, byte_symbols
 
 WORD = re.compile(f"[^{WHITE_SPACE}]+")
 #: Entries of the cache of compatible pairs; it starts anew when full.
@@ -37,13 +37,6 @@ CACHE_RUNS = 350_000
 END = 0x10000
 
 
-def byte_symbols() -> list[str]:
-    """The printable symbol of each byte in byte-level vocabularies."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
-
-
 class BpeModel:
     """Vocabulary, merges and automaton of a byte-level BPE tokenizer file."""
 

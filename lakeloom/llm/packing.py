@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, map_slices
-from .tokenizer import chunk_encoder
+from .tokenizer import text_encoder
 
 CAPACITY = 2048
 #: Classes of lengths that the program prices at most, its rounds, and the shrink rate of weights.
@@ -243,7 +243,7 @@ def pack(
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for rows in slices:
-            encoder = chunk_encoder(tokenizer_path)
+            encoder = text_encoder(tokenizer_path)
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "seen", *(["ids"] if with_ids else []))}
             for doc_id, text in zip(rows["doc_id"], rows["text"]):
                 ids = encoder.encode(text or "") + end

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_slices
-from .tokenizer import chunk_encoder
+from .tokenizer import text_encoder
 
 RULES = ("first", "last", "split")
 #: Section number of characters that no given span covers.
@@ -85,7 +85,7 @@ def token_counts(
     columns = {"doc_id": id_col, "text": text_col} | ({"spans": spans_col} if spans_col else {})
 
     def run(slices):
-        encoder = chunk_encoder(tokenizer_path)
+        encoder = text_encoder(tokenizer_path)
         for part in slices:
             out: dict[str, list] = {k: [] for k in ("doc_id", "section", "start", "end", "n_tokens", "n_crossing")}
 

@@ -1,15 +1,16 @@
-"""Byte-level BPE ids of whole texts, word by word with a bounded cache.
+"""Byte-level BPE ids and token offsets of whole texts, and a bounded cache.
 
-The splitting pattern of byte-level BPE never puts a boundary-free token across
-"non-space followed by space", so a text falls into chunks (a run of white space
-and the run of other characters after it) that encode independently of each
-other.  Each distinct chunk is encoded once per worker by the library; the ids
-of a text are the joined bytes of its chunks' ids.  The cache is bounded and only saves work.
+Texts whose characters every Unicode version classes alike are encoded by the
+fast rank-based encoder, built from the tokenizer file's own vocabulary; it gives
+the library's ids.  Any other text, and any text with an added token's string,
+goes to the library itself.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import sys
+import unicodedata
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
@@ -17,17 +18,18 @@ from typing import Any
 
 import numpy as np
 
-#: Unicode white space, as the tokenizer's pattern sees it.
+#: Unicode white space, as the tokenizers' patterns see it.
 WHITE_SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-#: Chunks of one generation of a worker's cache (it holds two), and the longest chunk that enters it.
-CACHE_CHUNKS, CACHE_LENGTH = 800_000, 64
+# Fixed value: the splitting pattern of byte-level BPE.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Entries of one generation of a cache (it holds two), and the longest key that enters it.
+CACHE_ENTRIES, CACHE_LENGTH = 400_000, 64
 
 
 class ChunkCache:
     """chunk -> its encoding in two generations: when the young one is full, it replaces the old one."""
 
-    def __init__(self, make: Callable[[str], Any], size: int = CACHE_CHUNKS):
+    def __init__(self, make: Callable[[str], Any], size: int = CACHE_ENTRIES):
         self.make, self.size, self.young, self.old = make, size, {}, {}
 
     def look_up(self, chunks: list[str]) -> list:
@@ -51,8 +53,29 @@ class ChunkCache:
         return found
 
 
-class ChunkEncoder:
-    """Ids (little-endian uint32) and character offsets of texts for one tokenizer file."""
+def byte_symbols() -> list[str]:
+    """The printable symbol of each byte in byte-level vocabularies."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
+
+
+@lru_cache(maxsize=1)
+def settled() -> np.ndarray:
+    """For each code point, whether Unicode 3.2 has it and classes it as today."""
+    old, now, table = unicodedata.ucd_3_2_0.category, unicodedata.category, np.zeros(sys.maxunicode + 1, bool)
+    for c in range(0x10000):
+        was = old(chr(c))
+        table[c] = was != "Cn" and was[0] == now(chr(c))[0]
+    return table
+
+
+def is_settled(text: str) -> bool:
+    return text.isascii() or bool(settled()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].all())
+
+
+class TextEncoder:
+    """Ids (little-endian uint32) and character offsets of texts for one byte-level tokenizer file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,12 +83,39 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.ids = ChunkCache(lambda chunk: array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes())
-        self.starts = ChunkCache(lambda chunk: array("I", [a for a, _ in self.library.encode(chunk, add_special_tokens=False).offsets]).tobytes())
+        spec = json.loads(open(path, encoding="utf-8").read())
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        of = {s: b for b, s in enumerate(byte_symbols())}
+        ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if t not in self.added}
+        self.lengths = np.zeros(max(vocab.values(), default=0) + 1 + len(self.added), np.int64)
+        for token, i in ranks.items():
+            self.lengths[i] = len(token)
+        for t in spec["added_tokens"]:
+            self.lengths[t["id"]] = len(t["content"].encode())
+        pre = spec["pre_tokenizer"] or {}
+        joined = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        plain = plain and spec["normalizer"] is None and joined == sorted(set(joined))
+        self.fast = self._ranked(ranks) if plain else None
+
+    @staticmethod
+    def _ranked(ranks: dict[bytes, int]):
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as consecutive little-endian 32-bit integers."""
-        return b"".join(self.ids.look_up(CHUNK.findall(text)))
+        if self.fast and is_settled(text) and not any(t in text for t in self.added):
+            ids = array("I", self.fast(text))
+        else:
+            ids = array("I", self.library.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
 
     def spans(self, text: str) -> np.ndarray:
         """First character of each token of a text, in order of the tokens.
@@ -73,14 +123,16 @@ class ChunkEncoder:
         A character of several bytes may be split over tokens; each of them
         starts at that character, as the library's offsets say.
         """
-        parts = CHUNK.findall(text)
-        got = self.starts.look_up(parts)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        tokens = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        return np.frombuffer(b"".join(got), "<u4") + np.repeat(np.cumsum(lengths) - lengths, tokens)
+        data = text.encode()
+        size = self.lengths[np.frombuffer(self.encode(text), "<u4")]
+        starts = np.cumsum(size) - size
+        if len(data) == len(text):
+            return starts
+        characters = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
+        return characters[starts]
 
 
 @lru_cache(maxsize=4)
-def chunk_encoder(path: str) -> ChunkEncoder:
+def text_encoder(path: str) -> TextEncoder:
     """One encoder per worker process and file."""
-    return ChunkEncoder(path)
+    return TextEncoder(path)
