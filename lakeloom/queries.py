@@ -122,7 +122,7 @@ def rollback(s, d):
     return open_table(s, t.location).scan()
 
 
-@query("SELECT 1 AS snapshot_id, 'append' AS operation, count(*) AS total_records FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 2, 'append', count(*) FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT 3, 'append', count(*) FROM orders")
+@query("SELECT CAST(1 AS BIGINT) AS snapshot_id, 'append' AS operation, count(*) AS total_records FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 2, 'append', count(*) FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT 3, 'append', count(*) FROM orders")
 def history(s, d):
     return _batches(s, d).history().select("snapshot_id", "operation", "total_records")
 
@@ -412,7 +412,7 @@ def compact_zorder(s, d):
     return _compacted(s, d, strategy="zorder", columns=["user_id", "ts"]).scan()
 
 
-@query("SELECT 3 AS snapshot_id, count(*) AS total_records FROM orders")
+@query("SELECT CAST(3 AS BIGINT) AS snapshot_id, count(*) AS total_records FROM orders")
 def expire_snapshots(s, d):
     t = _batches(s, d)
     t.expire_snapshots(older_than_ms=-1)
@@ -612,8 +612,8 @@ FROM @customer
     ["customer"],
     None,
 )
-ORACLES["scalar_functions"] = ORACLES["scalar_functions"].replace("floor(c_acctbal)", "CAST(floor(c_acctbal) AS BIGINT)")
-inherited("date_functions", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, date_trunc('month', o_orderdate) AS first_day, CAST(datediff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS INT) AS days FROM @orders", ["orders"], "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('month', o_orderdate) AS first_day, datediff(CAST(o_orderdate AS DATE), DATE '1990-01-01') AS days FROM @orders")
+ORACLES["scalar_functions"] = ORACLES["scalar_functions"].replace("floor(c_acctbal)", "CAST(floor(c_acctbal) AS BIGINT)").replace("length(c_name)", "CAST(length(c_name) AS INT)")
+inherited("date_functions", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, date_trunc('month', o_orderdate) AS first_day, CAST(datediff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS INT) AS days FROM @orders", ["orders"], "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS first_day, datediff(CAST(o_orderdate AS DATE), DATE '1990-01-01') AS days FROM @orders")
 inherited("json_functions", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM @events", ["events"], "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM @events")
 inherited("cte_pivot", "WITH x AS (SELECT o_custkey, o_orderstatus FROM @orders) SELECT o_custkey, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS f, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS o FROM x GROUP BY o_custkey", ["orders"], "SELECT o_custkey, coalesce(F, 0) AS f, coalesce(O, 0) AS o FROM (SELECT o_custkey, o_orderstatus, 1 AS one FROM @orders) PIVOT (count(one) FOR o_orderstatus IN ('F' AS F, 'O' AS O))")
 
