@@ -12,6 +12,7 @@ import os
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 from urllib.parse import quote, unquote
 
 from py4j.protocol import Py4JJavaError
@@ -20,9 +21,23 @@ from pyspark.sql import SparkSession
 _SCHEME = re.compile(r"^([a-z][a-z0-9+.-]*):", re.I)
 
 
+@lru_cache(maxsize=4)
+def _default_store(application: str) -> str:
+    conf = SparkSession.getActiveSession().sparkContext._jsc.hadoopConfiguration()
+    return (conf.get("fs.defaultFS") or "file:///").rstrip("/")
+
+
 def normalise(uri: str) -> str:
-    """One spelling for each location: no trailing slash, local paths absolute and without a scheme."""
+    """One spelling for each location: no trailing slash, local paths absolute and without a scheme.
+
+    A path without a scheme belongs to the cluster's default store, as for Spark.
+    """
     m = _SCHEME.match(uri)
+    spark = None if m else SparkSession.getActiveSession()
+    if spark is not None:
+        store = _default_store(spark.sparkContext.applicationId)
+        if not store.startswith("file:"):
+            return store + os.path.abspath(uri)
     if m and m[1].lower() != "file":
         return uri.rstrip("/")
     path = re.sub(r"^file:(//)?", "", uri, flags=re.I) if m else uri
@@ -153,4 +168,4 @@ def working_folder(spark: SparkSession, what: str) -> str:
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(p)
     fs.deleteOnExit(p)  # frames may still read it, so it goes when the application ends
-    return normalise(folder)
+    return normalise(fs.makeQualified(p).toString())
