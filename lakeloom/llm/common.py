@@ -98,6 +98,7 @@ def map_slices(
             yield pa.RecordBatch.from_arrays(
                 [v if isinstance(v := got[f.name], pa.Array) else pa.array(v, type=f.type) for f in arrow], schema=arrow
             )
+        pa.default_memory_pool().release_unused()  # workers live on; what this task needed goes back
 
     return df.select(*(F.col(f"`{c}`").alias(n) for n, c in columns.items())).mapInArrow(run, out)
 

@@ -13,7 +13,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from typing import Any
 
 import numpy as np
@@ -78,11 +78,7 @@ class TextEncoder:
     """Ids (little-endian uint32) and character offsets of texts for one byte-level tokenizer file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         spec = json.loads(open(path, encoding="utf-8").read())
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.added = [t["content"] for t in spec["added_tokens"]]
@@ -99,6 +95,16 @@ class TextEncoder:
         plain = plain and spec["normalizer"] is None and joined == sorted(set(joined))
         self.fast = self._ranked(ranks) if plain else None
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     @staticmethod
     def _ranked(ranks: dict[bytes, int]):
         try:
