@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -34,7 +35,7 @@ SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Characters between a sensitive word and a candidate at most; characters of context on each side.
 REACH, CONTEXT = 48, 1_024
-#: A candidate is reported from this share of marginal bytes and bits of entropy per character on.
+#: A candidate is reported from this share of its alphabet's bytes and bits of entropy per character on.
 LEAST_NOVELTY, LEAST_BITS = 0.8, 3.0
 #: Digits, and changes between lower case, upper case, digits and signs, that a candidate has at least.
 LEAST_DIGITS, LEAST_CHANGES = 2, 5
@@ -65,12 +66,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _bytes_of(data: bytes, dictionary: zstandard.ZstdCompressionDict | None = None) -> int:
+    """Bytes that some data adds to an empty frame."""
+    packer = zstandard.ZstdCompressor(level=19, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
+    return len(packer.compress(data)) - len(packer.compress(b""))
+
+
 def novelty(candidate: str, before: str, after: str) -> float:
-    """Marginal compressed bytes of a candidate per byte, given identifiers and its surroundings."""
+    """Marginal compressed bytes of a candidate, given identifiers and its surroundings, per byte of its characters in mixed order.
+
+    The same characters in a fixed mixed order, compressed alone, cost what the
+    alphabet and the length let random key material cost: near 1 is random in
+    any alphabet, repeats within the candidate count as known.
+    """
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + after.encode("utf-8", "replace") + b"\n" + before.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    data = candidate.encode()
-    return (len(packer.compress(data)) - len(packer.compress(b""))) / len(data)
+    alone = _bytes_of("".join(random.Random(len(candidate)).sample(candidate, len(candidate))).encode())
+    return _bytes_of(candidate.encode(), primed) / alone
 
 
 def bits_per_character(s: str) -> float:

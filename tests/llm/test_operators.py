@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import struct
 import zlib
 from collections import Counter
@@ -259,6 +260,16 @@ def test_novel_strings_in_sensitive_context():
     assert secrets.novel_spans(f"nothing of that sort: {key}", []) == []
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"])
+@pytest.mark.parametrize("length", [128, 1024])
+def test_long_keys_of_small_alphabets_are_novel(alphabet, length):
+    r = random.Random(length)
+    key = "".join(r.choice(alphabet) for _ in range(length))
+    text = f"Authorization: Bearer {key} and more"
+    assert [text[a:b] for a, _, b in secrets.novel_spans(text, [])] == [key]
+    assert secrets.novel_spans(f"Authorization: Bearer {key[:20] * (length // 20)} and more", []) == []  # repeats itself
+
+
 # --- 5 language ID ---------------------------------------------------------------
 def test_language_id_on_held_out_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
