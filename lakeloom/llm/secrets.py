@@ -32,7 +32,11 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 # Words that make a following string sensitive.
 SENSITIVE_WORDS = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "auth", "bearer", "credential", "private", "access_key", "access-key", "accesskey", "signature")
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.I | re.A)
+LEAST_LENGTH = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+KEY_HEADER = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY[A-Z ]{0,10}-----")
+#: The last line of a key's body, shorter than a candidate, up to the footer or its padding; line breaks may be escaped or quoted.
+LAST_LINE = re.compile(r"""(?:\\[nr]|[\s"'+,|>]){1,32}([A-Za-z0-9+/_]{1,15}(?:={1,2}(?![A-Za-z0-9+/_=])|(?=(?:\\[nr]|[\s"'+,|>]){1,32}-----END)))""")
 #: Characters between a sensitive word and a candidate at most; characters of context on each side.
 REACH, CONTEXT = 48, 1_024
 #: A candidate is reported from this share of its alphabet's bytes and bits of entropy per character on.
@@ -95,18 +99,39 @@ def _mixed(s: str) -> bool:
     return kinds.count("d") >= LEAST_DIGITS and len(set(kinds) - {"", "d"}) > 0 and changes >= LEAST_CHANGES
 
 
+def _sensitive_places(text: str) -> list[tuple[int, int]]:
+    """(first, last) places where a candidate may begin, by first place: close after a sensitive word, anywhere in a private key's body."""
+    places = [(m.end(), m.end() + REACH) for m in SENSITIVE.finditer(text)]
+    headers = list(KEY_HEADER.finditer(text))
+    for m, upper in zip(headers, [h.start() for h in headers[1:]] + [len(text)]):
+        end = text.find("-----END", m.end(), upper)
+        places.append((m.end(), end if end >= 0 else m.end() + REACH))
+    return sorted(places)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of incompressible strings in a sensitive context that no base span touches."""
+    """Spans of incompressible strings in a sensitive context that no base span touches.
+
+    A line break does not end a context, and each reported string is one for the
+    runs that follow it, so all lines of a key's body are found; so is its short
+    last line.
+    """
     lowered = text.lower()
     if not any(word in lowered for word in SENSITIVE_WORDS):
         return []
     found: dict[int, tuple[int, int, int]] = {}
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 16)):
+    tried: set[int] = set()
+    places = _sensitive_places(text)[::-1]  # a stack: a reported string's own context comes next
+    while places:
+        first, last = places.pop()
+        for m in CANDIDATE.finditer(text, first, min(len(text), last + 16)):
             start = m.start()
-            if start - word.end() > REACH or start in found or "\n" in text[word.end() : start]:
+            if start > last or start in tried:
                 continue
+            tried.add(start)
             end = CANDIDATE.match(text, start).end()  # whole, also beyond the reach
+            if start and text[start - 1] == "\\" and text[start] in "nrt" and end - start > LEAST_LENGTH:
+                start += 1  # the letter of an escape
             s = text[start:end]
             if not _mixed(s) or bits_per_character(s) < LEAST_BITS:
                 continue
@@ -114,6 +139,10 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
                 continue
             if novelty(s, text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]) >= LEAST_NOVELTY:
                 found[start] = (start, 3, end)
+                places.append((end, end + REACH))
+                tail = LAST_LINE.match(text, end)
+                if tail and not any(a < tail.end(1) and tail.start(1) < b for a, _, b in taken):
+                    found[tail.start(1)] = (tail.start(1), 3, tail.end(1))
     return sorted(found.values())
 
 
