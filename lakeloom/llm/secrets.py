@@ -5,7 +5,8 @@ a sensitive word closely is a candidate.  Its novelty is what it adds to a
 zstandard frame whose dictionary is a list of common identifiers followed by
 the text around the candidate: an identifier, a path or a string that the
 surroundings repeat costs a few bytes, random key material nearly its length.
-Candidates that stay incompressible are reported as kind ``novel``.
+Candidates that stay incompressible are reported as kind ``novel``, unless
+their letters follow each other as in words.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ SENSITIVE_WORDS = ("password", "passwd", "passphrase", "secret", "token", "apike
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.I | re.A)
 LEAST_LENGTH = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+WORD, ALPHABETS = re.compile(r"[A-Za-z]+"), re.compile("abcdef|xxxx", re.I)
 KEY_HEADER = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY[A-Z ]{0,10}-----")
 #: The last line of a key's body, shorter than a candidate, up to the footer or its padding; line breaks may be escaped or quoted.
 LAST_LINE = re.compile(r"""(?:\\[nr]|[\s"'+,|>]){1,32}([A-Za-z0-9+/_]{1,15}(?:={1,2}(?![A-Za-z0-9+/_=])|(?=(?:\\[nr]|[\s"'+,|>]){1,32}-----END)))""")
@@ -41,8 +43,9 @@ LAST_LINE = re.compile(r"""(?:\\[nr]|[\s"'+,|>]){1,32}([A-Za-z0-9+/_]{1,15}(?:={
 REACH, CONTEXT = 48, 1_024
 #: A candidate is reported from this share of its alphabet's bytes and bits of entropy per character on.
 LEAST_NOVELTY, LEAST_BITS = 0.8, 3.0
-#: Digits, and changes between lower case, upper case, digits and signs, that a candidate has at least.
-LEAST_DIGITS, LEAST_CHANGES = 2, 5
+#: A candidate is made of words if letter pairs are this share of it at least and cost fewer bits each than this, given
+#: the pairs of identifiers and of the words around it; pairs that aren't in them count as this share of one.
+LEAST_PAIRS, LEAST_PAIR_BITS, PAIR_SMOOTHING = 0.5, 4.6, 0.3
 
 # Identifiers that are common in code and configuration.
 IDENTIFIERS = " ".join(
@@ -53,6 +56,39 @@ IDENTIFIERS = " ".join(
     static const string integer boolean default public private protected class struct interface namespace
     http https www com org net json yaml html utf-8 sha256 base64 AWS_ACCESS_KEY_ID AWS_SECRET_ACCESS_KEY
     GITHUB_TOKEN DATABASE_URL SECRET_KEY_BASE example.com your_token_here changeme placeholder xxxxxxxxxxxxxxxx
+    self append error context type name value protocol write header loop format base file default buffer class handler read parse create handle check
+    transport items init string exception from dict message thread socket parser option address linux cpython module path close server member content
+    version data extended frame values list clear line match remove future traceback register object args sock event pipe time task keys process cache
+    code current result selector encode request connection executor start action encoding find reader screen collections shutdown update formatter make
+    callback queue startswith done call types info wait flags replace bytes func policy group locale turtle cancel source size winapi manager defect
+    readline offset enum errors futures print split lines proactor invalid pending copy lock repr other cookie test headers importlib inspect help wrapper
+    load email subprocess method threading local stream search network table actions defects buffered decode count charset filename node registry timeout
+    dispatch trace child state domain stack waiter names writer signal sort stdout generator date text long sendfile datetime argument function constants
+    logger release part connect events factory precedence cancelled bootstrap running closed send input generic response exceptions level status prefix
+    parameter params container simple exit parameters asyncio spec async section join overlapped length ready with handshake complete whitespace work next
+    save stats root reading iter coroutine external unix return summary loader tasks strings item logging sslobj directory decoder decimal lineno output
+    mode token alias dataclass chars accept last stdin empty first instruction index body visit only received signature special pattern fork windows
+    fallback forward hook wrapped proc qualname config short cookies setdefault hash mime fileobj unregister inner handlers indent stderr http flush user
+    system safe watcher defaults quoted strict attribute hostname opcode convert wakeup children discard extend parts global origin splitlines description
+    console optional readinto callable mapping members filter writing initial platform utils lower machinery kwargs reset verify partial multipart mailbox
+    wrap number main callbacks codecs common pickle original resume concurrent endswith client canvas interactive interpolation builtin datagram report
+    flag month matcher seek getitem literal allow unhashable select addr notify fileno serving broken boundary disposition float decoded attributes
+    compare total control instance required separator record specific param mutable files conflict options chain extract deprecated entry typing acquire
+    ratio command configure threads orig functools ignore supports operator opts strip full abstract descriptor bound incremental encoder globals calendar
+    missing tuple iterator annotations python proto fields untagged negative validate eager lost guess generate multiprocessing pprint push chunk
+    annotation broadcast protocols stop transfer sequence completion helper allowed forever compile reinit limits field ensure recvfrom inst integer
+    itertools port down warnings parent comment encoded recv meta invalidation arguments cert terminal import newline break keyword bind style symbol
+    subclass target store attrs waiters extension closure mtime usage implementation maybe element tree show finished bases right denominator package
+    transports framer barrier proxy called found completed paths finder integral continuation mixin diff unicode temporary popen head terminate impl label
+    exclusive adjust build disable symlinks filters tarinfo width excepthook modules inheritable pause sequences reverse opcodes into checked display
+    groups commands getsockname difference host zlib urllib counter pool tell case frozen weekday internal iterable decompressor netmask exec waitpid
+    dictionary const mutually kind unpack calc builtins recursive matching suppress round anchors compiler finish attr networks insert setter labels
+    paused until extra unittest docstring dest partition ascii firstlineno coro winfo timezone maintype importer objc popleft water transp link semaphore
+    html warning soon remainder sparse mapped depth poll view metavar reserved named entries printable raise post visible nowait delimiter remote family
+    getvalue after encodings translate unstructured executable block partialmethod active prefixes existing condition contains char before calls fold
+    positional debug getrandbits pair numbers open outgoing scheduled native symtable tkinter microseconds tokenize locals objclass breaks specified
+    sysconfig iana curframe tarfile subclasscheck bare bpbynumber truncate logical normalize major keywords interpreter characters operation limit pickler
+    returncode property single marker service prepare choices reduce constructor dataclasses linecache readonly connected removals
     0123456789abcdef abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 1234567890 0000000000000000
     """.split()
 ).encode()
@@ -92,11 +128,31 @@ def bits_per_character(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
-def _mixed(s: str) -> bool:
-    """Whether a string changes between kinds of characters as keys do and identifiers rarely do."""
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "" for c in s]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    return kinds.count("d") >= LEAST_DIGITS and len(set(kinds) - {"", "d"}) > 0 and changes >= LEAST_CHANGES
+def _letter_pairs(s: str) -> list[str]:
+    """Neighbouring letters in lower case; a capital after a small letter begins a word."""
+    return [(a + b).lower() for a, b in zip(s, s[1:]) if a.isalpha() and b.isalpha() and not (a.islower() and b.isupper())]
+
+
+_PAIRS = Counter(p for w in IDENTIFIERS.decode().split() if not ALPHABETS.search(w) for p in _letter_pairs(w))
+
+
+def _worded(s: str, before: str, after: str) -> bool:
+    """Whether a string's letters follow each other as in identifiers and in the words around it; random letters rarely do.
+
+    A short frame stores an identifier that no dictionary has whole as it stores
+    a key, so the compressor can't tell these two apart.
+    """
+    own = _letter_pairs(s)
+    if len(own) < LEAST_PAIRS * len(s):
+        return False
+    pairs = Counter(_PAIRS)
+    for w in WORD.findall(CANDIDATE.sub(" ", f"{before} {after}")):
+        pairs.update(_letter_pairs(w))
+    first: Counter[str] = Counter()
+    for pair, n in pairs.items():
+        first[pair[0]] += n
+    bits = sum(-math.log2((pairs[p] + PAIR_SMOOTHING) / (first[p[0]] + 26 * PAIR_SMOOTHING)) for p in own)
+    return bits < LEAST_PAIR_BITS * len(own)
 
 
 def _sensitive_places(text: str) -> list[tuple[int, int]]:
@@ -133,11 +189,12 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             if start and text[start - 1] == "\\" and text[start] in "nrt" and end - start > LEAST_LENGTH:
                 start += 1  # the letter of an escape
             s = text[start:end]
-            if not _mixed(s) or bits_per_character(s) < LEAST_BITS:
+            if bits_per_character(s) < LEAST_BITS:
                 continue
             if any(a < end and start < b for a, _, b in taken):
                 continue
-            if novelty(s, text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]) >= LEAST_NOVELTY:
+            before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+            if novelty(s, before, after) >= LEAST_NOVELTY and not _worded(s, before, after):
                 found[start] = (start, 3, end)
                 places.append((end, end + REACH))
                 tail = LAST_LINE.match(text, end)

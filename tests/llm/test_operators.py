@@ -287,6 +287,18 @@ def test_a_value_on_the_line_after_its_word_is_novel():
     assert [s[0] for s in secrets.novel_spans(f"credential:\n    {key}\n", [])] == [16]
 
 
+def test_random_keys_of_any_kind_of_characters_are_novel_and_identifiers_are_not():
+    r = random.Random(11)
+    lower, letters = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet in (lower, letters, lower + "0123456789", letters + "0123456789+/"):
+        for length in (16, 20, 32):
+            keys = ["".join(r.choice(alphabet) for _ in range(length)) for _ in range(100)]
+            found = sum([(24, 3, 24 + length)] == secrets.novel_spans(f"the private material is {k} here", []) for k in keys)
+            assert found >= 93, (alphabet, length, found)
+    names = "serialize_private_members getOrCreateSparkContext input_sorting_expressions x19transform_with_state_info internationalisation".split()
+    assert [n for n in names if secrets.novel_spans(f"the private part is {n} here", [])] == []
+
+
 # --- 5 language ID ---------------------------------------------------------------
 def test_language_id_on_held_out_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
