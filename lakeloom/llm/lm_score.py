@@ -9,8 +9,11 @@ corpus counts although no table of all words is ever held in one place.
 all other words form one rare class.  P(token) = P(class | history) *
 P(token | class, history): two softmaxes whose scores are sums of weights of
 hashed features (the word before, the pair before, the word before that) on top
-of the log shares of plain counts.  Within the rare class, words have their
-smoothed share of the class.
+of the log shares of plain counts.  The rare class is a tree of classes: each
+level is one more softmax over 16 branches, which digits of the word's hash
+choose, with weights by (history, node).  The tree grows with the distinct
+words to about one word a leaf, the hashed rows with the training tokens (up to
+MOST_DEPTH and MOST_BITS).  Words of one leaf have their smoothed share of it.
 
 *Training.*  Every training document is used once.  In each round tasks start
 from the same weights, take AdaGrad steps over mini-batches of their documents
@@ -22,7 +25,7 @@ and send their weights back, which are averaged by tokens seen, slice by slice.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +40,38 @@ from .common import Scratch, crc_part, documents, map_slices
 
 #: Classes and tokens of a class; bits of the feature hash; training rounds and step size.
 CLASSES, WIDTH, FEATURE_BITS = 16, 16, 14
+#: Levels of the rare class and bits of the feature hash at most; they bound a task's memory.
+MOST_DEPTH, MOST_BITS = 5, 20
+#: Training tokens a feature row, so that what the tasks send grows no faster than the input.
+TOKENS_OF_A_ROW = 1_024
 ROUNDS, STEP, BATCH = 2, 0.1, 65_536
 #: Rows of a block: its texts and distinct words are one task's group.
 BLOCK_ROWS = 4_096
 SLICES, FAN_IN = 16, 64
 SMOOTHING = 0.1
 END = xxhash.xxh3_64_intdigest(b" end of text ")  # no word contains a space
+UNKNOWN = xxhash.xxh3_64_intdigest(b" a word that was not learned ")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _depth_of(leaves: int) -> int:
+    return (leaves.bit_length() - 1) // 4
+
+
+def _leaf(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """Leaf of the rare class that a word belongs to: ``depth`` digits of its mixed hash."""
+    x = (tokens ^ tokens >> np.uint64(31)) * _B
+    return (x >> np.uint64(64 - 4 * depth)).astype(np.int64) if depth else np.zeros(len(tokens), np.int64)
+
+
+def sizes_of(tokens: int, distinct: int) -> tuple[int, int]:
+    """(depth of the rare class, bits of the feature hash) for that many training tokens and distinct words: about one word a leaf."""
+    depth = 0
+    while WIDTH**depth < distinct - CLASSES * WIDTH and depth < MOST_DEPTH:
+        depth += 1
+    return depth, min(max(FEATURE_BITS, (tokens // TOKENS_OF_A_ROW).bit_length() - 1), MOST_BITS)
+
+
 def tokens_of(text: bytes | None) -> np.ndarray:
     """Hashes of a text's words and of one end token; A-Z in lower case, words split at ASCII white space."""
     words = text.lower().split() if text else []
@@ -66,10 +92,12 @@ class Model:
     rare_total: float  # smoothed total of the rare class
     class_weights: np.ndarray  # [features, CLASSES + 1]
     word_weights: np.ndarray  # [features, WIDTH]
+    leaves: np.ndarray  # smoothed totals of the rare class's leaves, WIDTH ** depth
+    branch_bias: list[np.ndarray]  # for each level of the rare class, log share of each branch in its node, [nodes, WIDTH]
 
     @classmethod
-    def start(cls, counts: list[tuple[int, int]], total: int, distinct: int) -> Model:
-        """From the most frequent (hash, count), most frequent first, and the corpus totals."""
+    def start(cls, counts: list[tuple[int, int]], total: int, distinct: int, leaves: np.ndarray | None = None, bits: int = FEATURE_BITS) -> Model:
+        """From the most frequent (hash, count), most frequent first, the corpus totals and all words' smoothed totals by leaf."""
         n = CLASSES * WIDTH
         hashes = np.array([h for h, _ in counts[:n]], np.int64).view(np.uint64)
         c = np.zeros(n)
@@ -78,16 +106,36 @@ class Model:
         by_class = c.reshape(CLASSES, WIDTH) + 1e-3
         rare = total - c.sum() + SMOOTHING * (distinct - len(hashes) + 1)
         mass = np.append(c.reshape(CLASSES, WIDTH).sum(axis=1), max(rare, SMOOTHING)) + 1e-3
+        if leaves is None:
+            totals = np.array([max(rare, SMOOTHING)])
+        else:
+            totals = leaves.copy()
+            depth = _depth_of(len(totals))
+            np.subtract.at(totals, _leaf(hashes, depth), c[: len(hashes)] + SMOOTHING)
+            np.maximum(totals, 0, out=totals)
+            totals[_leaf(np.array([UNKNOWN], np.uint64), depth)] += SMOOTHING
+        branch_bias = []
+        at = totals
+        while len(at) > 1:
+            share = at.reshape(-1, WIDTH) + 1e-6
+            branch_bias.insert(0, np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32))
+            at = at.reshape(-1, WIDTH).sum(axis=1)
         return cls(
             hashes[order],
             np.arange(len(hashes))[order],
             np.log(mass / mass.sum()).astype(np.float32),
             np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32),
             float(max(rare, SMOOTHING)),
-            np.zeros((1 << FEATURE_BITS, CLASSES + 1), np.float32),
-            np.zeros((1 << FEATURE_BITS, WIDTH), np.float32),
+            np.zeros((1 << bits, CLASSES + 1), np.float32),
+            np.zeros((1 << bits, WIDTH), np.float32),
+            totals,
+            branch_bias,
         )
 
+    @property
+    def bits(self) -> int:
+        return len(self.word_weights).bit_length() - 1
+
     def ranks(self, tokens: np.ndarray) -> np.ndarray:
         """Rank of each token; CLASSES * WIDTH for the rare ones."""
         rare = CLASSES * WIDTH
@@ -107,27 +155,45 @@ class Model:
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         frequent = np.flatnonzero(own < CLASSES)
-        rows = (features[:, frequent] + own[frequent] * 7919) & ((1 << FEATURE_BITS) - 1)
+        rows, u = self._choice(features[:, frequent], own[frequent] * 7919, self.word_bias[own[frequent]])
+        return own, z, frequent, rows, u
+
+    def _choice(self, features: np.ndarray, salts: np.ndarray, bias: np.ndarray):
+        """Feature rows and probabilities of one softmax over WIDTH choices an example."""
+        rows = (features + salts) & (len(self.word_weights) - 1)
         u = self.word_weights[rows[0]]
         u += self.word_weights[rows[1]]
         u += self.word_weights[rows[2]]
-        u += self.word_bias[own[frequent]]
+        u += bias
         u -= u.max(axis=1, keepdims=True)
         np.exp(u, out=u)
         u /= u.sum(axis=1, keepdims=True)
-        return own, z, frequent, rows, u
-
-    def log10(self, features: np.ndarray, ranks: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; ``counts`` are training counts, used for rare tokens."""
+        return rows, u
+
+    def branches(self, features: np.ndarray, leaf: np.ndarray):
+        """For each level of the rare class: feature rows, probabilities and the branches that lead to the leaves."""
+        depth = len(self.branch_bias)
+        for level, bias in enumerate(self.branch_bias):
+            node = leaf >> (4 * (depth - level))
+            salts = ((node * 16 + level + CLASSES + 1) * 0x9E3779B1 >> 5) & 0xFFFFFFFF
+            yield *self._choice(features, salts, bias[node]), leaf >> (4 * (depth - level - 1)) & (WIDTH - 1)
+
+    def log10(self, features: np.ndarray, ranks: np.ndarray, counts: np.ndarray, tokens: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each token; ``counts`` are training counts, used for rare tokens; without ``tokens`` the rare class must have one leaf."""
         own, z, frequent, _, u = self.forward(features, ranks)
         p = np.log10(np.maximum(z[np.arange(len(own)), own], 1e-30)).astype(np.float64)
         p[frequent] += np.log10(np.maximum(u[np.arange(len(frequent)), ranks[frequent] % WIDTH], 1e-30))
-        rare = own == CLASSES
-        p[rare] += np.log10((counts[rare] + SMOOTHING) / self.rare_total)
+        rare = np.flatnonzero(own == CLASSES)
+        leaf = np.zeros(len(rare), np.int64)
+        if self.branch_bias:
+            leaf = _leaf(np.where(counts[rare] > 0, tokens[rare], np.uint64(UNKNOWN)), len(self.branch_bias))
+            for _, u, branch in self.branches(features[:, rare], leaf):
+                p[rare] += np.log10(np.maximum(u[np.arange(len(rare)), branch], 1e-30))
+        p[rare] += np.log10((counts[rare] + SMOOTHING) / self.leaves[leaf])
         return p
 
 
-def history_features(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def history_features(tokens: np.ndarray, starts: np.ndarray, bits: int = FEATURE_BITS) -> np.ndarray:
     """[3, tokens] hashed features: word before, pair before, skip word; texts begin at ``starts``."""
     one = np.empty_like(tokens)
     one[1:] = tokens[:-1]
@@ -135,7 +201,7 @@ def history_features(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     two = np.empty_like(tokens)
     two[1:] = one[:-1]
     two[starts] = np.uint64(2)
-    down = np.uint64(64 - FEATURE_BITS)
+    down = np.uint64(64 - bits)
     pair = (one * _A) ^ (two * _B)
     return np.stack([((one ^ _B) * _A) >> down, ((pair ^ pair >> np.uint64(29)) * _A) >> down, ((two ^ _A) * _B) >> down]).astype(np.int64)
 
@@ -152,25 +218,43 @@ class Trainer:
     @staticmethod
     def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
         """One update from the gradient of each example, added up by feature row."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits at a time: a radix sort
+        if len(weights) > 1 << 16:
+            order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
         sorted_rows = rows[order]
         first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-        total = np.add.reduceat(gradient[order % len(gradient)], first, axis=0)
+        order %= len(gradient)
+        total = gradient[order[first]]
+        times = np.diff(first, append=len(order))
+        several = np.flatnonzero(times > 1)  # rows with one example need no sum
+        if len(several):
+            n = times[several]
+            begin = np.cumsum(n) - n
+            total[several] = np.add.reduceat(gradient[order[np.repeat(first[several] - begin, n) + np.arange(n.sum())]], begin, axis=0)
         at = sorted_rows[first]
-        s = squares[at] + total * total
+        s = total * total
+        s += squares[at]
         squares[at] = s
-        weights[at] -= STEP * total / np.sqrt(s)
+        np.sqrt(s, out=s)
+        total /= s
+        total *= STEP
+        weights[at] -= total
 
     def learn(self, tokens: np.ndarray, starts: np.ndarray) -> None:
-        features, ranks = history_features(tokens, starts), self.m.ranks(tokens)
+        features, ranks = history_features(tokens, starts, self.m.bits), self.m.ranks(tokens)
         for a in range(0, len(tokens), BATCH):
             f, r = features[:, a : a + BATCH], ranks[a : a + BATCH]
             own, z, frequent, rows, u = self.m.forward(f, r)
             z[np.arange(len(own)), own] -= 1
-            self._step(self.m.class_weights, self.g_class, f.astype(np.int16).ravel(), z)
+            self._step(self.m.class_weights, self.g_class, f.ravel(), z)
             if len(frequent):
                 u[np.arange(len(frequent)), r[frequent] % WIDTH] -= 1
-                self._step(self.m.word_weights, self.g_word, rows.astype(np.int16).ravel(), u)
+                self._step(self.m.word_weights, self.g_word, rows.ravel(), u)
+            rare = np.flatnonzero(own == CLASSES)
+            if len(rare) and self.m.branch_bias:
+                for rows, u, branch in self.m.branches(f[:, rare], _leaf(tokens[a : a + BATCH][rare], len(self.m.branch_bias))):
+                    u[np.arange(len(rare)), branch] -= 1
+                    self._step(self.m.word_weights, self.g_word, rows.ravel(), u)
             self.seen += len(own)
 
 
@@ -180,11 +264,11 @@ def _blob(a: np.ndarray) -> bytes:
 
 def _train_round(docs: DataFrame, model: Model, scratch: Scratch, name: str) -> Model:
     """Local steps over all rows of ``docs``, then the average of the tasks' weights by tokens seen."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 132 bytes a feature row, 8 a leaf: 400 MB at most
 
     def body(slices):
         m = shared.value
-        local = Trainer(Model(m.top, m.rank, m.class_bias, m.word_bias, m.rare_total, m.class_weights.copy(), m.word_weights.copy()))
+        local = Trainer(replace(m, class_weights=m.class_weights.copy(), word_weights=m.word_weights.copy()))
         for part in slices:
             texts = [tokens_of(t) for t in part["text"]]
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -270,6 +354,30 @@ def _most_frequent(counts: DataFrame, k: int) -> list[tuple[int, int]]:
     return [(r["h"], r["c"]) for r in best.select("h", "c").collect()]
 
 
+def _leaf_totals(counts: DataFrame, depth: int) -> np.ndarray:
+    """Sum of c + SMOOTHING of the learned words of each leaf; the parts come as arrays of one leading byte each."""
+    if not depth:
+        return np.array([counts.where("c > 0").agg(F.coalesce(F.sum(F.col("c") + SMOOTHING), F.lit(0.0))).first()[0]])
+    cut = max(WIDTH**depth // 256, 1)
+
+    def leaves(slices):
+        for part in slices:
+            h = np.array(part["h"], np.int64).view(np.uint64)
+            yield {"leaf": _leaf(h, depth), "c": part["c"]}
+
+    def add(table: pa.Table) -> pa.Table:
+        leaf = table.column("leaf").to_numpy()
+        total = np.bincount(leaf % cut, table.column("c").to_numpy() + SMOOTHING, cut)
+        return pa.table({"part": pa.array([int(leaf[0]) // cut], pa.int64()), "blob": [zstandard.compress(total.tobytes(), 1)]})
+
+    placed = map_slices(counts.where("c > 0"), "leaf long, c long", {"h": "h", "c": "c"}, leaves)
+    parts = placed.groupBy(F.floor(F.col("leaf") / cut).alias("part")).applyInArrow(add, "part long, blob binary").collect()
+    out = np.zeros(WIDTH**depth)
+    for r in parts:
+        out[r["part"] * cut : (r["part"] + 1) * cut] = np.frombuffer(zstandard.decompress(r["blob"]))
+    return out
+
+
 def lm_score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -291,7 +399,8 @@ def lm_score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col:
     counted = scratch.keep(words.withColumns({"total": total, "lead": F.row_number().over(per_word) == 1}).select("block", "h", F.col("total").alias("c"), "lead"), "counted")
     leads = counted.where("lead").select("h", "c")
     n, v = leads.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    model = Model.start(_most_frequent(leads, CLASSES * WIDTH), n, v)
+    depth, bits = sizes_of(n, v)
+    model = Model.start(_most_frequent(leads, CLASSES * WIDTH), n, v, _leaf_totals(leads, depth), bits)
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
         model = _train_round(rows.where(F.col("train") & (part == k)).select("text"), model, scratch, f"round{k}")
@@ -317,8 +426,8 @@ def lm_score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col:
             sizes = np.fromiter(map(len, batch), np.int64, len(batch))
             starts = np.cumsum(sizes) - sizes
             c = values[np.searchsorted(keys, tokens)].astype(np.float64)
-            features, ranks = history_features(tokens, starts), m.ranks(tokens)
-            own = np.concatenate([m.log10(features[:, a : a + BATCH], ranks[a : a + BATCH], c[a : a + BATCH]) for a in range(0, len(tokens), BATCH)])
+            features, ranks = history_features(tokens, starts, m.bits), m.ranks(tokens)
+            own = np.concatenate([m.log10(features[:, a : a + BATCH], ranks[a : a + BATCH], c[a : a + BATCH], tokens[a : a + BATCH]) for a in range(0, len(tokens), BATCH)])
             base = np.log10((c + SMOOTHING) * (floor / SMOOTHING))
             out["n_tokens"] += sizes.tolist()
             out["n_known"] += np.add.reduceat((c > 0).astype(np.int64), starts).tolist()

@@ -473,6 +473,34 @@ def test_lm_token_probabilities_add_up_to_one():
     assert (10 ** m.log10(features, m.ranks(tokens), c)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_grows_with_the_corpus_and_scores_rare_words_by_history():
+    sizes = [lm_score.sizes_of(n, v) for n, v in ((1_000, 100), (10**6, 5_000), (10**8, 300_000), (10**9, 10**6))]
+    assert sizes == [(0, 14), (4, 14), (5, 16), (5, 19)]
+    words = np.arange(1, 2_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    count = np.where(np.arange(2_000) < 256, 90, 10)
+    depth = lm_score.sizes_of(10**5, 2_000)[0]
+    leaves = np.bincount(lm_score._leaf(words, depth), count + lm_score.SMOOTHING, 16**depth)
+    top = list(zip(words[:256].view(np.int64).tolist(), count[:256].tolist()))
+    m = lm_score.Model.start(top, int(count.sum()), 2_000, leaves, 15)
+    rare = words[256:]
+    pairs = np.stack([rare[0::2], rare[1::2]], axis=1)  # each second word follows one first word only
+    trainer = lm_score.Trainer(m)
+    for _ in range(30):
+        trainer.learn(pairs.ravel(), np.arange(0, pairs.size, 2))
+    features = lm_score.history_features(pairs.ravel(), np.arange(0, pairs.size, 2), m.bits)[:, 1::2]
+
+    def mean(seconds):
+        return m.log10(features, m.ranks(seconds), np.full(len(seconds), 10.0), seconds).mean()
+
+    assert mean(pairs[:, 1]) > mean(np.roll(pairs[:, 1], 1)) + 1  # ten times as likely after their own word
+
+    r = np.random.default_rng(2)
+    m.word_weights += r.normal(size=m.word_weights.shape).astype(np.float32)
+    every = np.append(words, np.uint64(77))
+    p = m.log10(np.repeat(features[:, :1], len(every), axis=1), m.ranks(every), np.append(count, 0).astype(float), every)
+    assert (10**p).sum() == pytest.approx(1, abs=1e-3)
+
+
 # --- 10 token counts -------------------------------------------------------------
 def test_token_counts_add_up(docs, clashing, empty):
     lib = Tokenizer.from_file(BYTE)
