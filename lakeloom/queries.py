@@ -175,8 +175,7 @@ def partition_day_events(s, d):
 
 @query("SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-10 09:00:00'")
 def partition_hour_events(s, d):
-    some = raw(s, d, "events").where("ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-01-12'")
-    t = table_of(s, some, "events", [("ts", "hour")])
+    t = table_of(s, raw(s, d, "events"), "events", [("ts", "hour")])
     return _pruned(t, "ts >= TIMESTAMP_NTZ '2024-01-10 06:00:00' AND ts < TIMESTAMP_NTZ '2024-01-10 09:00:00'")
 
 

@@ -12,6 +12,13 @@ def test_query_matches_sql(spark, same_as_sql, name):
     same_as_sql(queries.QUERIES[name](spark, SMALL), queries.ORACLES[name])
 
 
+def test_hour_partitions_hold_the_whole_table(spark, monkeypatch):
+    tables, pruned = [], queries._pruned
+    monkeypatch.setattr(queries, "_pruned", lambda t, condition: tables.append(t) or pruned(t, condition))
+    queries.partition_hour_events(spark, SMALL)
+    assert tables[0].scan().count() == spark.read.parquet(f"{SMALL}/events.parquet").count()
+
+
 def test_all_queries_have_sql():
     assert set(queries.QUERIES) == set(queries.ORACLES)
 
