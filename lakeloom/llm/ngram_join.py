@@ -11,8 +11,8 @@
    n - ceil(t n) + 1 of each.  Only these prefix shingles are shuffled; a shingle
    far above the mean count is spread over salts.
    Shingles that only one node has are dropped in the sorted stream.
-3. *Pairs.*  Pairs pass the length filter, the positional filter and the suffix
-   filter: two sets differ in at least as many hashes as ranges in parity, so
+3. *Pairs.*  Pairs pass the length filter, the positional filter and, in place of
+   a suffix filter, a bitmap filter over the whole sets: two sets differ in at least as many hashes as ranges in parity, so
    too many of these rule a link out.  First each node meets a few pivots of
    its shingle; components of the verified links then show what is settled.  After that every node meets all others of its
    shingle that are not in its component yet, except that members of a
@@ -38,7 +38,7 @@ from .common import Scratch, documents, map_slices
 from .components import components
 
 WORDS, THRESHOLD = 5, 80
-#: Counters of the sketch and slices it is summed in; ranges of the suffix filter.
+#: Counters of the sketch and slices it is summed in; ranges of the bitmap filter.
 SKETCH_BITS, SLICES, RANGE_BITS = 22, 64, 8
 #: Nodes a salted shingle has in one task, about; pivots a shingle has in each round.
 SALTED, PIVOTS = 8_192, (4,)
