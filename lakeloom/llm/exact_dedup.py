@@ -4,9 +4,9 @@
    bits (at most 2^16 counters, whatever the input) drives directory doubling:
    a bucket with more than ``capacity`` rows is split by its next bit, and the
    directory doubles whenever a bucket's depth exceeds the global depth.
-2. *Owner tasks.*  Rows are grouped by (bucket, hash, text).  The grouping is
-   pre-aggregated before the shuffle, so a group with a third of all rows
-   reaches its owner as one row per map task.  Grouping on the text itself
+2. *Grouping.*  Rows are grouped by (hash, text), whatever their bucket; this
+   decides what is equal.  The grouping is pre-aggregated before the shuffle, so a group with a third of all rows
+   reaches its task as one row per map task.  Grouping on the text itself
    compares bytes: texts that share a hash become links of one chain.
 3. *Index files.*  Chains go to Parquet in the shared folder, one folder per
    bucket, without the texts.
