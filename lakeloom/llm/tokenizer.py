@@ -3,12 +3,15 @@
 Texts whose characters every Unicode version classes alike are encoded by the
 fast rank-based encoder, built from the tokenizer file's own vocabulary; it gives
 the library's ids.  Any other text, and any text with an added token's string,
-goes to the library itself.
+goes to the library itself.  Texts of any length are encoded whole: long runs of
+white space, on which the encoder's pattern engine overflows its stack, are cut
+out as the pattern would cut them.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -22,6 +25,8 @@ import numpy as np
 WHITE_SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # Fixed value: the splitting pattern of byte-level BPE.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space that never enter the pattern engine.
+LONG_SPACE = re.compile(f"[{WHITE_SPACE}]{{1000,}}")
 #: Entries of one generation of a cache (it holds two), and the longest key that enters it.
 CACHE_ENTRIES, CACHE_LENGTH = 400_000, 64
 
@@ -111,7 +116,18 @@ class TextEncoder:
             import tiktoken
         except ImportError:
             return None
-        return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+        def encode(text: str) -> list[int]:
+            ids, at = [], 0
+            for m in LONG_SPACE.finditer(text):
+                end = m.end() - (m.end() < len(text))  # the last one belongs to what follows the run
+                ids += encoding.encode_ordinary(text[at : m.start()])
+                ids += encoding._encode_single_piece(text[m.start() : end])
+                at = end
+            return ids + encoding.encode_ordinary(text[at:])
+
+        return encode
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as consecutive little-endian 32-bit integers."""

@@ -144,6 +144,29 @@ def test_texts_encode_as_the_library(text):
     assert own.spans(text).tolist() == [a for a, _ in want.offsets]
 
 
+LONG = 3_000_000
+
+
+@pytest.mark.parametrize("text", [c * LONG for c in (" ", "\n", "a", "-", "7")] + ["a" + " " * LONG + "b\t" + "\n \t" * 1_000 + "c", " " * 2_000 + "\n", "\u3000" * 1_500 + "x" + "\xa0" * 1_500])
+def test_long_runs_encode_as_the_library(text):
+    own, lib = chunk_pair()
+    want = lib.encode(text, add_special_tokens=False)
+    assert np.array_equal(np.frombuffer(own.encode(text), "<u4"), want.ids)
+    assert np.array_equal(own.spans(text), [a for a, _ in want.offsets])
+
+
+def test_long_runs_in_the_operators(spark):
+    texts = {i: c * 1_200_000 for i, c in enumerate((" ", "a", "-"))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    lib, words = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    n = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+    packed = packing.pack(docs, BYTE).groupBy("doc_id").agg(F.sum("length")).collect()
+    assert dict(map(tuple, packed)) == {i: k + 1 for i, k in n.items()}
+    assert dict(map(tuple, token_counts.token_counts(docs, BYTE).groupBy("doc_id").agg(F.sum("n_tokens")).collect())) == n
+    for r in bpe.bpe_encode(docs, WORD).collect():
+        assert r.ids == " ".join(map(str, words.encode(texts[r.doc_id], add_special_tokens=False).ids))
+
+
 _made = {}
 
 
