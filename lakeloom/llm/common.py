@@ -14,19 +14,26 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows of text that one step of a Python operator holds at once, and characters.
 SLICE_ROWS, SLICE_CHARS = 2_000, 4_000_000
+#: Spark's setting that removes the shuffle files of a finished write, and bytes of a row group of a kept table.
+CLEAN_UP, ROW_GROUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", 32 << 20
+#: Rows of keys, a few numbers each, that may be broadcast; beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Where that is unset (tests, a
-    single machine) a temporary folder is made and set as the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset on a single
+    machine (tests) a temporary folder is made and set as the checkpoint folder;
+    on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_by_us = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_by_us.isDefined():
             return set_by_us.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lakeloom-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -51,10 +58,15 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Row groups are small, so that a writing task holds little; the shuffle files of the step go with it."""
         path = f"{self.root}/{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -103,6 +115,40 @@ def map_slices(
     return df.select(*(F.col(f"`{c}`").alias(n) for n, c in columns.items())).mapInArrow(run, out)
 
 
+def bounded(rows: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows that are broadcast if they are few enough.  They are counted, so they should come from a written table."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def heavy_keys(rows: DataFrame, on: list[str], limit: int, scratch: Scratch, name: str) -> DataFrame | None:
+    """(on..., parts) of the keys with over ``limit`` rows: at most one in ``limit`` rows has one.  None if there are none."""
+    counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit)
+    heavy = scratch.keep(counted.select(*on, F.ceil(F.col("c") / limit).cast("long").alias("parts")), name)
+    return None if heavy.isEmpty() else bounded(heavy)
+
+
+def dealt(rows: DataFrame, on: list[str], heavy: DataFrame | None, by: Column, part: str = "part") -> DataFrame:
+    """Adds ``part``: rows with a heavy key fall into one of its parts by a hash, all others into part 0."""
+    if heavy is None:
+        return rows.withColumn(part, F.lit(0).cast("long"))
+    return rows.join(heavy, on, "left").withColumn(part, F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+
+
+def repeated(rows: DataFrame, on: list[str], heavy: DataFrame | None, part: str = "part") -> DataFrame:
+    """Adds ``part``: rows with a heavy key once for each of its parts, all others with part 0."""
+    if heavy is None:
+        return rows.withColumn(part, F.lit(0).cast("long"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))
+    return rows.join(heavy, on, "left").withColumn(part, each).drop("parts")
+
+
+def dealt_join(many: DataFrame, one: DataFrame, on: list[str], heavy: DataFrame | None, by: Column, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` on ``on``, the rows of heavy keys dealt over several tasks."""
+    if heavy is None:
+        return many.join(one, on, how)
+    return dealt(many, on, heavy, by).join(repeated(one, on, heavy), [*on, "part"], how).drop("part")
+
+
 def crc_part(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

@@ -3,25 +3,32 @@
 1. *Signatures.*  One pass over the whole texts gives each document's set of
    shingle hashes, a signature of the set and its parities: whether it has an
    odd number of hashes in each of 256 ranges of the hash space.  The same pass
-   counts every shingle of the corpus in a sketch of 2^22 counters.  Documents with equal sets form one node, so
-   copies never meet each other again.
+   counts every shingle of the corpus in a sketch of 2^22 counters.  Documents
+   with equal sets form one node, so copies never meet each other again.
 2. *Prefixes.*  Shingles are ordered by (count, hash), rare first; the counters
    fix one order for all documents, which is all that exactness needs.  Two
    sets with the wanted similarity share a shingle among the first
    n - ceil(t n) + 1 of each.  Only these prefix shingles are shuffled; a shingle
    far above the mean count is spread over salts.
    Shingles that only one node has are dropped in the sorted stream.
-3. *Pairs.*  Pairs pass the length filter, the positional filter and, in place of
-   a suffix filter, a bitmap filter over the whole sets: two sets differ in at least as many hashes as ranges in parity, so
-   too many of these rule a link out.  First each node meets a few pivots of
-   its shingle; components of the verified links then show what is settled.  After that every node meets all others of its
+3. *Pairs.*  Nodes meet at a shingle; a shingle of many nodes is cut into blocks
+   that meet block by block, each pair of blocks in its own task.  Pairs pass
+   the length filter, the positional filter and a bitmap filter over the whole
+   sets: two sets differ in at least as many hashes as ranges in parity.  First
+   each node meets a few pivots of its shingle; components of the verified links
+   then show what is settled.  After that every node meets all others of its
    shingle that are not in its component yet, except that members of a
    shingle's largest component don't meet each other.  So all links between
    components are found, while a group of near copies costs a few pairs a node.
-4. *Verification.*  The sets of distinct pairs are joined and their intersection
-   is counted, once per pair.
-
-Shingles are compared by 64-bit hashes, nodes by (64-bit signature, size).
+4. *Suffixes and verification.*  The sets of distinct pairs are joined; the set of
+   a node of many pairs is repeated for parts of them.  The suffix filter bounds
+   what the sets can share behind the place where they met: it parts both
+   suffixes at the middle hash of one, and the parts again, and adds up by how
+   much the parts' sizes differ.  Only pairs that pass have their intersection
+   counted, once per pair.
+
+Shingles are compared by 64-bit hashes; a node is (smallest id, 64-bit signature,
+size), so equal sets are one node, and sets of an id with several texts are several.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, map_slices
+from .common import Scratch, bounded, dealt, dealt_join, documents, heavy_keys, map_slices, repeated
 from .components import components
 
 WORDS, THRESHOLD = 5, 80
@@ -42,8 +49,12 @@ WORDS, THRESHOLD = 5, 80
 SKETCH_BITS, SLICES, RANGE_BITS = 22, 64, 8
 #: Nodes a salted shingle has in one task, about; pivots a shingle has in each round.
 SALTED, PIVOTS = 8_192, (4,)
-#: Partial sketches that one task adds up; node ids that may be broadcast (8 bytes each).
-FAN_IN, BROADCAST_IDS = 256, 2_000_000
+#: Partial sketches that one task adds up.
+FAN_IN = 256
+#: Nodes of a block of one shingle, pairs that one copy of a set serves, documents of a set in one task.
+BLOCK, PAIRS_OF_A_SET, COPIES = 4_096, 128, 1 << 17
+#: Times that the suffix filter parts the suffixes.
+SUFFIX_DEPTH = 4
 ODD = ("o0", "o1", "o2", "o3")
 #: Bounds of the packed word: shingles of one text, salts of one shingle.
 MOST_SHINGLES, MOST_SALTS = (1 << 28) - 1, 126
@@ -218,30 +229,73 @@ def _shared_only(prefixes: DataFrame) -> DataFrame:
 
 
 def _passes(threshold: int):
-    """Length, positional and suffix filter of two postings a and b of one shingle.
+    """Length, positional and bitmap filter of two postings a and b of one shingle.
 
     Sets that link differ in at most |a| + |b| - 2 ceil(t (|a| + |b|) / (100 + t)) hashes.
     """
-    least = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")).cast("long")
-    sizes = (F.col("a.n") + F.col("b.n")).cast("long")
-    length = (F.col("a.n").cast("long") * 100 >= F.col("b.n").cast("long") * threshold) & (F.col("b.n").cast("long") * 100 >= F.col("a.n").cast("long") * threshold)
+    a_n, b_n = F.col("a.node.n"), F.col("b.node.n")
+    least, sizes = F.least(a_n - F.col("a.pos"), b_n - F.col("b.pos")), a_n + b_n
+    length = (a_n * 100 >= b_n * threshold) & (b_n * 100 >= a_n * threshold)
     apart = sum((F.bit_count(F.col(f"a.{k}").bitwiseXOR(F.col(f"b.{k}"))) for k in ODD), F.lit(0))
     common = F.floor((threshold * sizes + (99 + threshold)) / (100 + threshold))
     return length & ((100 + threshold) * least >= threshold * sizes) & (apart <= sizes - 2 * common)
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
+    """(p, q, p_pos, q_pos) of each pair once, p before q, with the first places where they met."""
     a_first = F.col("a.node") < F.col("b.node")
     pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
-    return joined.select(pick("a.node", "b.node").alias("p"), pick("a.n", "b.n").alias("p_n"), pick("b.node", "a.node").alias("q"), pick("b.n", "a.n").alias("q_n")).distinct()
+    met = joined.select(pick("a.node", "b.node").alias("p"), pick("b.node", "a.node").alias("q"), pick("a.pos", "b.pos").alias("p_pos"), pick("b.pos", "a.pos").alias("q_pos"))
+    return met.groupBy("p", "q").agg(F.min(F.struct("p_pos", "q_pos")).alias("at")).select("p", "q", "at.*")
+
+
+def suffix_difference(x: np.ndarray, y: np.ndarray, depth: int = SUFFIX_DEPTH) -> int:
+    """At least this many values are in one of two sorted arrays only: parts around the middle value of one differ by their sizes at least."""
+    if not depth or not len(x) or not len(y):
+        return abs(len(x) - len(y))
+    w = y[len(y) // 2]
+    a, b, c, d = np.searchsorted(x, w), np.searchsorted(x, w, "right"), np.searchsorted(y, w), np.searchsorted(y, w, "right")
+    return suffix_difference(x[:a], y[:c], depth - 1) + abs(int(b - a - d + c)) + suffix_difference(x[b:], y[d:], depth - 1)
+
 
+def may_link(x: np.ndarray, y: np.ndarray, i: int, j: int, threshold: int) -> bool:
+    """Suffix filter of two sets, as their places in the order of shingles, that share the i-th of the one and the j-th of the other."""
+    x, y = np.sort(x)[i + 1 :], np.sort(y)[j + 1 :]
+    sizes = len(x) + i + len(y) + j + 2
+    most = min(i, j) + 1 + (len(x) + len(y) - suffix_difference(x, y)) // 2
+    return (100 + threshold) * most >= threshold * sizes
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+
+def _verify(pairs: DataFrame, sets: DataFrame, sketch, threshold: int, scratch: Scratch, name: str) -> DataFrame:
     """(p, q) of the pairs that link, by their sets' intersection."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"{k}_hashes"))
-    both = pairs.join(side("p"), "p").join(side("q"), "q")
-    common = F.size(F.array_intersect("p_hashes", "q_hashes")).cast("long")
-    return both.where((100 + threshold) * common >= threshold * (F.col("p_n") + F.col("q_n")).cast("long")).select("p", "q").distinct()
+    both = pairs
+    for k, other in (("p", "q"), ("q", "p")):
+        heavy = heavy_keys(pairs, [k], PAIRS_OF_A_SET, scratch, f"{name}-{k}")
+        both = dealt_join(both, sets.select(F.col("node").alias(k), F.col("hashes").alias(f"{k}_hashes")), [k], heavy, F.col(other))
+
+    def run(batches):
+        counts = sketch.value
+
+        def places(hashes):
+            """Where hashes stand in the order (count, hash), by the first bits of the hash."""
+            return counts[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32)
+
+        for batch in batches:
+            sides = []
+            for c in ("p_hashes", "q_hashes"):
+                column = batch.column(batch.schema.get_field_index(c))
+                sides.append((column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()))
+            (x, x_at), (y, y_at) = sides
+            first = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("p_pos", "q_pos")]
+            links = np.zeros(batch.num_rows, bool)
+            for r, (i, j) in enumerate(zip(*first)):
+                a, b = x[x_at[r] : x_at[r + 1]], y[y_at[r] : y_at[r + 1]]
+                if may_link(places(a), places(b), int(i), int(j), threshold):
+                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                    links[r] = (100 + threshold) * int((b[at] == a).sum()) >= threshold * (len(a) + len(b))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(links)), batch.column(1).filter(pa.array(links))], names=["p", "q"])
+
+    return both.select("p", "q", "p_pos", "q_pos", "p_hashes", "q_hashes").mapInArrow(run, pairs.select("p", "q").schema)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -266,57 +320,83 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = _add_sketches(partial, tasks)
     mean = float(sketch.sum(dtype=np.float64) / len(sketch))
 
-    nodes = scratch.keep(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("node"), *(F.first(k).alias(k) for k in ODD)), "nodes")
+    linked = own.where("n > 0 AND doc_id IS NOT NULL")
+    described_nodes = linked.groupBy("sig", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.first(k).alias(k) for k in ODD))
+    nodes = scratch.keep(described_nodes.select("sig", "n", F.struct("id", "sig", "n").alias("node"), "copies", *ODD), "nodes")
     shared = spark.sparkContext.broadcast(sketch)  # 16 MB, whatever the input
     postings = scratch.keep(_shared_only(_prefixes(rows.where("doc_id IS NOT NULL"), shared, mean, width, threshold)), "shared")
-    postings = scratch.keep(postings.join(nodes, ["sig", "n"]).select("h", "node", "n", "pos", *ODD), "postings")
+    postings = scratch.keep(postings.join(nodes, ["sig", "n"]).select("h", "node", "pos", *ODD), "postings")
     scratch.drop("shared")
-    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files that no later step reads
+    blocks = heavy_keys(postings, ["h"], BLOCK, scratch, "blocks")
 
     def to_sets(slices):
+        seen: set[tuple] = set()
         for part in slices:
-            yield {"node": part["doc_id"], "hashes": [shingle_set(t, width).view(np.int64) for t in part["text"]]}
+            out: dict[str, list] = {"node": [], "hashes": []}
+            for doc_id, text in zip(part["doc_id"], part["text"]):
+                s = shingle_set(text, width)
+                if not len(s) or (key := (doc_id, signature(s), len(s))) in seen:
+                    continue
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(key)
+                out["node"].append(dict(zip(("id", "sig", "n"), key)))
+                out["hashes"].append(s.view(np.int64))
+            yield out
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         """(node, hashes) of the nodes that occur in pairs; only their texts go to Python again."""
-        ids = scratch.keep(pairs.select(F.col("p").alias("doc_id")).union(pairs.select("q")).distinct(), f"{name}-ids")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return scratch.keep(map_slices(rows.join(ids, "doc_id", "left_semi"), f"node {id_type}, hashes array<bigint>", {"doc_id": "doc_id", "text": "text"}, to_sets), name)
+        wanted = scratch.keep(pairs.select(F.col("p").alias("node")).union(pairs.select("q")).distinct(), f"{name}-wanted")
+        ids = bounded(scratch.keep(wanted.select(F.col("node.id").alias("doc_id")).distinct(), f"{name}-ids"))
+        found = map_slices(rows.join(ids, "doc_id", "left_semi"), f"node struct<id: {id_type}, sig: bigint, n: bigint>, hashes array<bigint>", {"doc_id": "doc_id", "text": "text"}, to_sets)
+        sets = scratch.keep(found.join(bounded(wanted), "node", "left_semi"), name)
+        if sets.count() > wanted.count():  # rows that repeat id and text in several tasks
+            sets = scratch.keep(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), f"{name}-once")
+        return sets
 
     links = None
     for k, pivots in enumerate((*PIVOTS, None)):
         here = postings.withColumn("label", F.col("node"))
         if links is not None:
             settled = scratch.keep(components(links, scratch, f"stars{k}"), f"labels{k}")
-            here = postings.join(settled, "node", "left").select("h", "node", "n", "pos", *ODD, F.coalesce("root", "node").alias("label"))
+            here = postings.join(settled, "node", "left").select("h", "node", "pos", *ODD, F.coalesce("root", "node").alias("label"))
             ranked = here.groupBy("h", "label").agg(F.count(F.lit(1)).alias("rows"))
             main = ranked.groupBy("h").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-            here = scratch.keep(here.join(main.select("h", "main"), "h"), f"open{k}")
-        order = F.xxhash64("node", F.lit(k))
+            here = scratch.keep(dealt_join(here, main.select("h", "main"), ["h"], blocks, F.col("node")), f"open{k}")
         if pivots:
-            some = here.groupBy("h", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "label", *ODD)).alias("best"))
-            others = some.select("h", *(f"best.{c}" for c in ("node", "n", "pos", "label", *ODD)))
+            order = F.xxhash64("node", F.lit(k))
+            some = here.groupBy("h", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "pos", "label", *ODD)).alias("best"))
+            others = some.select("h", *(f"best.{c}" for c in ("node", "pos", "label", *ODD)))
+            a, b = dealt(here, ["h"], blocks, F.col("node"), "i").withColumn("j", F.lit(0)), repeated(others, ["h"], blocks, "i").withColumn("j", F.lit(0))
         else:
-            others = here
-        minor = here if links is None else here.where("label <> main")
-        a, b = minor.alias("a"), others.alias("b")
-        found = _pairs(a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & _passes(threshold)))
+            minor = here if links is None else here.where("label <> main")
+            a = repeated(dealt(minor, ["h"], blocks, F.col("node"), "i"), ["h"], blocks, "j")
+            b = repeated(dealt(here, ["h"], blocks, F.col("node"), "j"), ["h"], blocks, "i")
+        a, b = a.alias("a"), b.alias("b")
+        same_block = (F.col("a.h") == F.col("b.h")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+        found = _pairs(a.join(b, same_block & (F.col("a.label") != F.col("b.label")) & _passes(threshold)))
         if links is not None:
             found = found.join(tried, ["p", "q"], "left_anti")
         found = scratch.keep(found, f"pairs{k}")
         tried = found.select("p", "q") if links is None else tried.unionByName(found.select("p", "q"))
         sets = sets_of(found, f"sets{k}")
-        more = scratch.keep(_verify(found, sets, threshold), f"links{k}")
+        more = scratch.keep(_verify(found, sets, shared, threshold, scratch, f"heavy{k}"), f"links{k}")
         scratch.drop(f"sets{k}")
         links = more if links is None else links.unionByName(more)
 
-    # An id with several texts is one document: its classes are joined by the id itself.
-    classes = own.where("n > 0 AND doc_id IS NOT NULL").join(nodes.select("sig", "n", "node"), ["sig", "n"])
-    repeated = classes.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    roots = components(links.unionByName(repeated.select(F.col("low").alias("p"), F.col("high").alias("q"))), scratch, "final")
-    placed = nodes.join(roots, "node", "left").select("sig", "n", F.col("node").alias("class_id"), F.coalesce("root", "node").alias("component_id"))
+    # An id with several texts is one document: its nodes are joined by the id itself.
+    several = linked.groupBy("doc_id").agg(F.min(F.struct("sig", "n")).alias("low"), F.max(F.struct("sig", "n")).alias("high")).where("low <> high").select("doc_id")
+    several = scratch.keep(several, "several")
+    if not several.isEmpty():
+        texts = linked.join(bounded(several), "doc_id", "left_semi").select("doc_id", "sig", "n").distinct().join(nodes, ["sig", "n"])
+        texts = scratch.keep(texts.select("doc_id", "node"), "texts")
+        first = texts.groupBy("doc_id").agg(F.min("node").alias("p"))
+        links = links.unionByName(dealt_join(texts, first, ["doc_id"], heavy_keys(texts, ["doc_id"], BLOCK, scratch, "heavy-ids"), F.col("node")).select("p", F.col("node").alias("q")))
+    roots = components(links, scratch, "final")
+    placed = nodes.join(roots, "node", "left").select("sig", "n", F.col("node.id").alias("class_id"), F.coalesce("root.id", "node.id").alias("component_id"))
+    copies = scratch.keep(nodes.where(F.col("copies") > COPIES).select("sig", "n", F.ceil(F.col("copies") / COPIES).cast("long").alias("parts")), "copies")
     alone = F.col("class_id").isNull() | F.col("doc_id").isNull()
-    return own.join(placed, ["sig", "n"], "left").select(
+    return dealt_join(own, placed, ["sig", "n"], None if copies.isEmpty() else bounded(copies), F.col("doc_id"), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),

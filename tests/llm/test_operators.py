@@ -399,11 +399,52 @@ def test_ngram_join_edges(docs, clashing, empty):
 @pytest.mark.parametrize("salted", [8_192, 4])
 def test_ngram_join_against_brute_force(spark, monkeypatch, salted):
     monkeypatch.setattr(ngram_join, "SALTED", salted)  # 4: frequent shingles are spread over salts
+    monkeypatch.setattr(ngram_join, "BLOCK", salted)  # and cut into blocks, and sets are repeated
+    monkeypatch.setattr(ngram_join, "PAIRS_OF_A_SET", salted)
     rows = near_copies()
     got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got], brute_components(rows))
 
 
+def repeated_ids():
+    """An id with two texts, one of which holds the other; a document that only their union would link; an id with three texts."""
+    a = [f"w{k}" for k in range(90)]
+    b = a + [f"x{k}" for k in range(60)]
+    q = a + [f"x{k}" for k in range(28)]
+    c, d, e = ([f"{x}{k}" for k in range(40)] for x in "cde")
+    return [(5, " ".join(a)), (5, " ".join(b)), (9, " ".join(q)), (20, " ".join(c)), (20, " ".join(d)), (20, " ".join(e)), (21, " ".join(d + ["end"])), (22, " ".join(e)), (23, " ".join(["start", *c])), (23, " ".join(c)), (4, " ".join(e))]
+
+
+@pytest.mark.parametrize("block", [4_096, 1])
+def test_ngram_join_of_repeated_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PAIRS_OF_A_SET", block)
+    monkeypatch.setattr(ngram_join, "COPIES", block)
+    rows = repeated_ids() * 2
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute_components(rows)
+    assert {(i, root) for i, _, root in want if i in (5, 9)} == {(5, 5), (9, 9)}
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], want)
+
+
+def test_suffix_filter_loses_no_link():
+    rng = np.random.default_rng(3)
+    rejected = 0
+    for _ in range(3_000):
+        base = rng.choice(4_000, int(rng.integers(5, 300)), replace=False).astype(np.uint64)
+        other = np.unique(np.concatenate((rng.permutation(base)[int(rng.integers(0, len(base) // 2 + 1)) :], rng.choice(4_000, int(rng.integers(0, 80))).astype(np.uint64))))
+        x, y = np.sort(base), other
+        common = np.intersect1d(x, y)
+        assert ngram_join.suffix_difference(x, y) <= len(x) + len(y) - 2 * len(common)
+        if len(common):
+            w = common[0]
+            links = 180 * len(common) >= 80 * (len(x) + len(y))
+            passes = ngram_join.may_link(x, y, int(np.searchsorted(x, w)), int(np.searchsorted(y, w)), 80)
+            assert passes or not links
+            rejected += not passes
+    assert rejected > 500
+
+
 def test_filters_lose_no_link():
     rows = near_copies()
     sets = [ngram_join.shingle_set(t.encode()) for _, t in rows]
