@@ -1,30 +1,40 @@
 """Operator 9, exact dedup: an extendible-hash index on shared files.  Native: no Python on the rows.
 
-1. *Directory.*  Every text has a 64-bit hash.  A histogram over its leading
-   bits (at most 2^16 counters, whatever the input) drives directory doubling:
-   a bucket with more than ``capacity`` rows is split by its next bit, and the
-   directory doubles whenever a bucket's depth exceeds the global depth.
-2. *Grouping.*  Rows are grouped by (hash, text), whatever their bucket; this
-   decides what is equal.  The grouping is pre-aggregated before the shuffle, so a group with a third of all rows
-   reaches its task as one row per map task.  Grouping on the text itself
-   compares bytes: texts that share a hash become links of one chain.
-3. *Index files.*  Chains go to Parquet in the shared folder, one folder per
-   bucket, without the texts.
-4. *Lookup.*  Each document finds its link by (hash, digest); only chains with
-   copies are looked up, all others keep themselves.
+1. *Heads.*  Every text has a 64-bit hash.  Rows are pre-aggregated to one head a
+   hash with its number of rows; only these small rows are shuffled.  A hash that
+   one row has is settled: no other text is equal.
+2. *Directory.*  A histogram of the heads over the leading hash bits (at most 2^16
+   counters, whatever the input) drives directory doubling: a bucket with more
+   than ``capacity`` hashes is split by its next bit, and the directory doubles
+   whenever a bucket's depth exceeds the global depth.  Copies don't count, so a
+   text with very many splits nothing.
+3. *Owners.*  Rows whose hash several rows have go, with their texts, to the owner
+   task of their bucket, which is a range of hashes; a hash of very many rows is
+   dealt over parts of its bucket.  An owner compares the bytes of the texts of
+   one hash and makes a chain of the distinct ones: a chain of several links is
+   a hash collision.  Links of a dealt hash are merged over its parts.
+4. *Index files.*  Chains go to Parquet in the shared folder in order of their
+   buckets, without the texts.
+5. *Lookup.*  A document finds its chain by bucket and hash.  A chain of one link
+   is its own; in a longer one the digest says which.  Documents without a chain
+   keep themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import BROADCAST_KEYS, Scratch, bounded, dealt, documents, repeated
 
-#: Rows that a bucket of the index may hold before it is split.
-CAPACITY = 1 << 18
+#: Hashes that a bucket of the index may hold before it is split; rows of one hash in one task.
+CAPACITY, ROWS_OF_A_PART = 1 << 12, 1 << 14
 #: Leading hash bits that the directory can use; bounds it to 65,536 entries.
 MAX_DEPTH = 16
+#: Links of the index that may be broadcast (about 150 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_LINKS = 200_000
 
 
 def grow_directory(histogram: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> tuple[int, list[tuple[int, int]]]:
@@ -60,7 +70,13 @@ def _prefix(h: Column, depth: int) -> Column:
     return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacity: int = CAPACITY,
+    hash_of: Callable[[Column], Column] = F.xxhash64,
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket.
 
     Texts are equal when their bytes are; null counts as empty, so null and
@@ -68,48 +84,61 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null id never wins over another; if all ids of a group are null, keep_id is
     null and they are kept.  Rows that repeat id and text are one document: they
     carry the same values, and all count in group_size.  An empty table gives
-    an empty result.  Other columns of ``docs`` are not touched.
+    an empty result.  Other columns of ``docs`` are not touched.  ``bucket`` is
+    the text's bucket of the index.  ``hash_of`` gives a text's 64-bit hash; any
+    function gives the same groups, a poor one longer chains.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("content"), F.xxhash64(text).alias("h"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("content"), hash_of(text).cast("long").alias("h"))
 
-    histogram = rows.groupBy(_prefix(F.col("h"), MAX_DEPTH).alias("prefix")).count()
+    heads = scratch.keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows")), "heads")
+    histogram = heads.groupBy(_prefix(F.col("h"), MAX_DEPTH).alias("prefix")).count()
     depth, slots = grow_directory({r["prefix"]: r["count"] for r in histogram.collect()}, capacity)
-    directory = spark.createDataFrame([(i, d, b) for i, (d, b) in enumerate(slots)], "slot long, depth int, bucket int").coalesce(1)
-    directory = scratch.keep(directory, "directory")
-
-    chains = (
-        rows.groupBy("h", "content")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
-        .select("h", "digest", "keep_id", "group_size", _prefix(F.col("h"), depth).alias("slot"))
-        .join(F.broadcast(directory.select("slot", "bucket")), "slot")  # at most 2^MAX_DEPTH rows
-        .drop("slot")
-    )
-    # Links of one chain are numbered; a chain longer than one is a hash collision.
-    link = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("digest"))
-    index = scratch.keep(chains.withColumn("link", link).repartition("bucket"), "index", by="bucket")
-
-    copies = index.where("group_size > 1").select(
-        F.col("h").alias("i_h"), F.col("digest").alias("i_digest"), F.col("keep_id").alias("i_keep"), F.col("group_size").alias("i_size")
-    )
+    directory = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(slots)], "slot long, bucket int").coalesce(1)
+    directory = F.broadcast(scratch.keep(directory, "directory"))  # at most 2^MAX_DEPTH rows
+
+    def routed(df: DataFrame) -> DataFrame:
+        return df.withColumn("slot", _prefix(F.col("h"), depth)).join(directory, "slot").drop("slot")
+
+    crowded = scratch.keep(routed(heads.where("rows > 1")).select("h", "bucket"), "crowded")
+    hot = heads.where(F.col("rows") > ROWS_OF_A_PART).select("h", F.ceil(F.col("rows") / ROWS_OF_A_PART).cast("long").alias("parts"))
+    hot = scratch.keep(hot, "hot")  # at most one in ROWS_OF_A_PART rows
+    hot = None if hot.isEmpty() else bounded(hot)
+
+    places = repeated(crowded, ["h"], hot)
+    places = F.broadcast(places) if crowded.count() <= BROADCAST_KEYS else places
+    candidates = dealt(rows, ["h"], hot, F.col("doc_id")).join(places, ["h", "part"])
+    links = candidates.repartition("bucket", "part").groupBy("bucket", "part", "h", "content").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    if hot is not None:
+        links = links.groupBy("bucket", "h", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    chain = Window.partitionBy("bucket", "h")
+    links = links.select("bucket", "h", F.sha2(F.col("content").cast("binary"), 256).alias("digest"), "keep_id", "group_size")
+    links = links.withColumns({"link": F.row_number().over(chain.orderBy("digest")), "links": F.count(F.lit(1)).over(chain)})
+    index = scratch.keep(links.repartitionByRange("bucket").sortWithinPartitions("bucket", "h", "link"), "index")
+
+    found = repeated(index, ["h"], hot)
+    found = found.select(*(F.col(c).alias(f"i_{c}") for c in ("bucket", "h", "part", "digest", "keep_id", "group_size", "links")))
+    found = F.broadcast(found) if index.count() <= BROADCAST_LINKS else found
     own = rows.select("doc_id", "h", F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"))
-    found = own.join(copies, (F.col("h") == F.col("i_h")) & (F.col("text_sha256") == F.col("i_digest")), "left")
-    alone = F.col("i_size").isNull()
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("i_keep"))
-    return found.select(
+    own = dealt(routed(own), ["h"], hot, F.col("doc_id"))
+    place = (F.col("bucket") == F.col("i_bucket")) & (F.col("h") == F.col("i_h")) & (F.col("part") == F.col("i_part"))
+    same = (F.col("i_links") == 1) | (F.col("text_sha256") == F.col("i_digest"))
+    alone = F.col("i_h").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("i_keep_id"))
+    return own.join(found, place & same, "left").select(
         "doc_id",
         keep.alias("keep_id"),
-        F.coalesce("i_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce("i_group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
+        "bucket",
     )
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir))
+    return exact_dedup(documents(spark, sf_dir)).drop("bucket")
 
 
 ORACLE = """

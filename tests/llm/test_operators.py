@@ -41,9 +41,16 @@ def same_with_and_without_extras(op, docs, clashing, empty):
 
 
 # --- 9 exact dedup ---------------------------------------------------------------
-@pytest.mark.parametrize("capacity", [1, 4, 1 << 18])
-def test_exact_dedup(docs, clashing, empty, capacity):
-    got = same_with_and_without_extras(lambda d: exact_dedup.exact_dedup(d, capacity=capacity), docs, clashing, empty)
+def collisions(text):
+    return F.length(text) % 3  # three hashes for all texts
+
+
+@pytest.mark.parametrize("capacity, hash_of, rows_of_a_part, broadcast", [(4, F.xxhash64, 1 << 14, 1_000), (1, collisions, 1 << 14, 1_000), (1, F.xxhash64, 1, 0), (1 << 12, collisions, 2, 0)])
+def test_exact_dedup(docs, clashing, empty, monkeypatch, capacity, hash_of, rows_of_a_part, broadcast):
+    monkeypatch.setattr(exact_dedup, "ROWS_OF_A_PART", rows_of_a_part)  # hot hashes are dealt over parts
+    monkeypatch.setattr(exact_dedup, "BROADCAST_LINKS", broadcast)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", broadcast)
+    got = same_with_and_without_extras(lambda d: exact_dedup.exact_dedup(d, capacity=capacity, hash_of=hash_of).drop("bucket"), docs, clashing, empty)
     groups = {}
     for i, t in ROWS:
         groups.setdefault(t or "", []).append(i)
@@ -55,6 +62,15 @@ def test_exact_dedup(docs, clashing, empty, capacity):
     same(got, want)
 
 
+def test_equal_texts_share_a_bucket_and_buckets_are_hash_ranges(docs):
+    got = exact_dedup.exact_dedup(docs, capacity=2).join(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct(), "doc_id")
+    ranges = {}
+    for r in got.collect():
+        ranges.setdefault(r.bucket, set()).add(r.h % (1 << 64))
+    ordered = [(min(v), max(v)) for _, v in sorted(ranges.items())]
+    assert len(ordered) > 3 and all(a[1] < b[0] for a, b in zip(ordered, ordered[1:]))
+
+
 def test_directory_doubling_splits_only_overfull_buckets():
     depth, slots = exact_dedup.grow_directory({0: 10, 1: 10, 1 << 15: 3}, capacity=10)
     assert depth == 16 and len(slots) == 1 << 16
