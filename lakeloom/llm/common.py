@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows of text that one step of a Python operator holds at once, and characters.
@@ -112,7 +112,32 @@ def map_slices(
             )
         pa.default_memory_pool().release_unused()  # workers live on; what this task needed goes back
 
-    return df.select(*(F.col(f"`{c}`").alias(n) for n, c in columns.items())).mapInArrow(run, out)
+    return select_exact(df, columns).mapInArrow(run, out)
+
+
+def number_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns renamed by place, and the new name of each, so that no name can clash with an operator's own."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new))
+
+
+def select_exact(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns under new names (new name -> the frame's own name), found by their exact names: neither dots nor letter case confuse them."""
+    numbered, names = number_columns(df)
+    return numbered.select(*(F.col(names[c]).alias(n) for n, c in columns.items()))
+
+
+def map_column(column: Column, kind: str, body: Callable[[list], list]) -> Column:
+    """A column made of another one by a Python function over bounded slices of values; all other columns stay in the JVM."""
+    arrow = to_arrow_type(schema_of(f"x {kind}")["x"].dataType)
+
+    def run(values: pa.Array) -> pa.Array:
+        step = max(1, min(SLICE_ROWS, int(SLICE_CHARS * len(values) / max(1, values.nbytes))))
+        parts = [pa.array(body(values.slice(at, step).to_pylist()), type=arrow) for at in range(0, len(values), step)]
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(parts) if parts else pa.array([], type=arrow)
+
+    return F.arrow_udf(run, kind)(column)
 
 
 def bounded(rows: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:

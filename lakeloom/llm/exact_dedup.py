@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, Scratch, bounded, dealt, documents, repeated
+from .common import BROADCAST_KEYS, Scratch, bounded, dealt, documents, repeated, select_exact
 
 #: Hashes that a bucket of the index may hold before it is split; rows of one hash in one task.
 CAPACITY, ROWS_OF_A_PART = 1 << 12, 1 << 14
@@ -90,8 +90,8 @@ def exact_dedup(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("content"), hash_of(text).cast("long").alias("h"))
+    text = F.coalesce("content", F.lit(""))
+    rows = select_exact(docs, {"doc_id": id_col, "content": text_col}).select("doc_id", text.alias("content"), hash_of(text).cast("long").alias("h"))
 
     heads = scratch.keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows")), "heads")
     histogram = heads.groupBy(_prefix(F.col("h"), MAX_DEPTH).alias("prefix")).count()

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, dealt, dealt_join, documents, heavy_keys, map_slices, repeated
+from .common import Scratch, bounded, dealt, dealt_join, documents, heavy_keys, map_slices, repeated, select_exact
 from .components import components
 
 WORDS, THRESHOLD = 5, 80
@@ -311,7 +311,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = select_exact(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.col("text").cast("binary"))
 
     described = scratch.keep(_describe(rows, width, id_type), "described")
     own = described.where("slice IS NULL").select("doc_id", "n", "sig", *ODD)

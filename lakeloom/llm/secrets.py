@@ -15,13 +15,14 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_slices
+from .common import documents, map_column, map_slices, number_columns
 
 # The base patterns, in the order in which equal starts are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -35,6 +36,7 @@ SENSITIVE_WORDS = ("password", "passwd", "passphrase", "secret", "token", "apike
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.I | re.A)
 LEAST_LENGTH = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+NAMES = re.compile(r"(?:[A-Za-z0-9+/_.-]*=)+(?=[^=])")
 WORD, ALPHABETS = re.compile(r"[A-Za-z]+"), re.compile("abcdef|xxxx", re.I)
 KEY_HEADER = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY[A-Z ]{0,10}-----")
 #: The last line of a key's body, shorter than a candidate, up to the footer or its padding; line breaks may be escaped or quoted.
@@ -177,6 +179,18 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         return []
     found: dict[int, tuple[int, int, int]] = {}
     tried: set[int] = set()
+    merged: list[list[int]] = []
+    for a, _, b in sorted(taken):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    begins = [a for a, _ in merged]
+
+    def touches(start: int, end: int) -> bool:
+        at = bisect_left(begins, end)
+        return at > 0 and merged[at - 1][1] > start
+
     places = _sensitive_places(text)[::-1]  # a stack: a reported string's own context comes next
     while places:
         first, last = places.pop()
@@ -188,17 +202,17 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             end = CANDIDATE.match(text, start).end()  # whole, also beyond the reach
             if start and text[start - 1] == "\\" and text[start] in "nrt" and end - start > LEAST_LENGTH:
                 start += 1  # the letter of an escape
+            if names := NAMES.match(text, start, end):
+                start = names.end()  # what is left of the name that the value is assigned to
             s = text[start:end]
-            if bits_per_character(s) < LEAST_BITS:
-                continue
-            if any(a < end and start < b for a, _, b in taken):
+            if len(s) < LEAST_LENGTH or bits_per_character(s) < LEAST_BITS or touches(start, end):
                 continue
             before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
             if novelty(s, before, after) >= LEAST_NOVELTY and not _worded(s, before, after):
                 found[start] = (start, 3, end)
                 places.append((end, end + REACH))
                 tail = LAST_LINE.match(text, end)
-                if tail and not any(a < tail.end(1) and tail.start(1) < b for a, _, b in taken):
+                if tail and not touches(tail.start(1), tail.end(1)):
                     found[tail.start(1)] = (tail.start(1), 3, tail.end(1))
     return sorted(found.values())
 
@@ -243,18 +257,20 @@ def mask(text: str) -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with secrets masked in the text; null texts stay null."""
-    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
-    at = next(n for n, c in names.items() if c == text_col)
+def masked(text: Column) -> Column:
+    """The text with its secrets masked; null texts stay null.  Only changed texts come back from Python."""
 
-    def run(slices):
-        for part in slices:
-            yield part | {at: [t if t is None else mask(t) for t in part[at]]}
+    def run(texts: list) -> list:
+        found = [t if t is None else mask(t) for t in texts]
+        return [None if new == old else new for new, old in zip(found, texts)]
+
+    return F.coalesce(map_column(text, "string", run), text)
 
-    fields = ", ".join(f"{n} {docs.schema[i].dataType.simpleString()}" for i, n in enumerate(names))
-    masked = map_slices(docs, fields, names, run)
-    return masked.select(*(F.col(n).alias(c) for n, c in names.items()))
+
+def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same rows and columns, whatever their names, with secrets masked in the text."""
+    numbered, names = number_columns(docs)
+    return numbered.withColumn(names[text_col], masked(F.col(names[text_col]))).toDF(*docs.columns)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,5 +41,5 @@ def clashing(docs):
     """The same rows with extra columns named like columns that operators make."""
     from pyspark.sql import functions as F
 
-    names = "h digest slot bucket keep_id task seen length piece rank n sig node label q target l_id block train c total lead c0 ids spans prefix content"
-    return docs.select("*", *(F.lit(1).alias(n) for n in names.split()))
+    names = "h digest slot bucket keep_id task seen length piece rank n sig node label q target l_id block train c total lead c0 c1 ids spans prefix content score lang_pred d_id d_digest a.b part parts kept Text"
+    return docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names.split())))

@@ -65,6 +65,17 @@ def test_secret_stage_masks_and_keeps_all(spark, docs):
     assert not any(secrets.base_spans(r.text or "") for r in out.collect())
 
 
+def test_stages_keep_extra_columns_whatever_their_names(spark, docs, clashing):
+    extra = len(docs.columns)
+    for _, stage in pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, SMALL), stage(spark, clashing, SMALL)
+        assert out.columns == clashing.columns and [f.dataType for f in out.schema] == [f.dataType for f in clashing.schema]
+        got = out.collect()
+        assert sorted((tuple(r)[:extra] for r in got), key=key) == rows(plain)
+        assert all(tuple(r)[extra:] == tuple(range(len(r) - extra)) for r in got)
+    assert rows(pipeline.pack_sequences(spark, clashing, SMALL).drop("sequence_id", "offset")) == rows(pipeline.pack_sequences(spark, docs, SMALL).drop("sequence_id", "offset"))
+
+
 def test_stages_on_an_empty_table(spark, empty):
     docs = empty
     for _, stage in pipeline.STAGES:
