@@ -7,8 +7,8 @@ sum over its n-grams of how many places they are out of place, an n-gram that
 the profile lacks counting as one whole profile length.
 
 Profiles are fitted on a bounded sample of labelled rows (``rows_per_language``
-expected rows of each language, drawn by a hash over all labelled rows);
-prediction reads every whole text.
+expected rows of each language, drawn by a hash over all labelled rows, and at
+least one); every label has a profile.  Prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_part, documents, map_slices
+from .common import Scratch, bounded, crc_part, documents, map_slices, select_exact
 
 #: Places in a language's profile, n-grams of a document that are ranked.
 PROFILE, RANKED = 500, 300
-#: Expected labelled rows a language is fitted on; languages learned at most (the most frequent).
-ROWS_PER_LANGUAGE, MAX_LANGUAGES = 1_500, 1_000
+#: Expected labelled rows a language is fitted on.
+ROWS_PER_LANGUAGE = 1_500
 #: n-grams that are counted at once; bounds memory on very long texts.
 WINDOW = 1 << 20
 UNKNOWN = "und"
@@ -62,12 +62,13 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def most_frequent(codes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """The k most frequent codes, most frequent first; equal counts by code."""
-    key = counts << 24 | ((1 << 24) - 1 - np.arange(len(codes)))
-    if len(key) > k:
-        key = np.partition(key, len(key) - k)[-k:]
-    key = np.sort(key)[::-1]
-    return codes[(1 << 24) - 1 - (key & ((1 << 24) - 1))]
+    """The k most frequent of some sorted codes, most frequent first; equal counts by code."""
+    if len(codes) > k:
+        least = np.partition(counts, len(counts) - k)[-k]
+        above = np.flatnonzero(counts > least)
+        at = np.concatenate((above, np.flatnonzero(counts == least)[: k - len(above)]))
+        codes, counts = codes[at], counts[at]
+    return codes[np.lexsort((codes, -counts))]
 
 
 @dataclass
@@ -108,17 +109,23 @@ def fit_profiles(
     text_col: str = "text",
     lang_col: str = "lang",
     rows_per_language: int = ROWS_PER_LANGUAGE,
-    max_languages: int = MAX_LANGUAGES,
     size: int = PROFILE,
+    id_col: str | None = None,
 ) -> Profiles:
-    """Profiles from rows with a non-null language and text.  No labelled row: no language is learned."""
-    rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return Profiles.of({}, size)
-    grain = 1 << 30
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(grain, -(-grain * rows_per_language // r["count"])))))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(grain)) < share[F.col("lang")])
+    """Profiles from rows with a non-null language and text.  No labelled row: no language is learned.
+
+    A language's rows are drawn by a hash of text and id, so that copies of one
+    text are drawn each on its own; rows that repeat both count once.  A language
+    with few rows has all of them, and each has one at least.  The profiles take
+    about 6 KB a language.
+    """
+    own = {"text": text_col, "lang": lang_col} | ({"id": id_col} if id_col else {})
+    rows = select_exact(labelled, own).withColumn("lang", F.col("lang").cast("string")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.select("text", "lang", F.xxhash64(*(["id", "text"] if id_col else ["text"])).alias("h"))
+    scratch = Scratch(labelled.sparkSession, "language-id")
+    counts = scratch.keep(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("h").alias("first")), "counts")
+    drawn = F.pmod(F.xxhash64("h"), F.lit(1 << 30)).cast("double") * F.col("rows") < float((1 << 30) * rows_per_language)
+    sample = rows.join(bounded(counts), "lang").where(drawn | (F.col("h") == F.col("first"))).select("lang", "text", "h").dropDuplicates(["lang", "h"])
 
     def count(slices):
         for part in slices:
@@ -146,7 +153,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", carry:
     where no language was learned.  Null ids and repeated rows are carried as
     they are; other columns are ignored, whatever their names.
     """
-    names = {f"c{i}": c for i, c in enumerate(carry)}
+    names = {f"k{i}": c for i, c in enumerate(carry)}
     fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in names.items())
 
     def predict(slices):
@@ -164,6 +171,6 @@ def held_out(doc_id) -> F.Column:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    profiles = fit_profiles(docs.where(~held_out(F.col("doc_id"))))
+    profiles = fit_profiles(docs.where(~held_out(F.col("doc_id"))), id_col="doc_id")
     found = identify(docs, profiles)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
