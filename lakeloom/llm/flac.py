@@ -3,25 +3,30 @@
 ``FlacWriter`` turns bytes into mono 8-bit FLAC with frames of 192 samples and a
 seek table; each frame takes the smallest of constant, verbatim, fixed
 predictors of order 0 to 2 and, if asked for, an LPC predictor.  ``FlacReader``
-finds the frames by their sync codes and header checksums, verifies every
-frame's CRC-16 and then decodes all frames of a batch in step: Rice codes sample
-by sample across frames, predictors by cumulative sums or, for LPC, by the
-recurrence.  A stream whose frames can't be told apart this way, or of another
-shape (partitions, other block sizes, wider samples), goes to a plain
-sequential decoder.  ``pcm_blocks`` writes decoded blocks with their sample
-offsets.
+reads streams by groups of frames, long ones from one seek point to a later one,
+so that what it holds does not grow with a stream.  It finds the frames of a
+group by their sync codes and header checksums, verifies every frame's CRC-16
+and then decodes all of them in step: Rice codes sample by sample across frames,
+predictors by cumulative sums or, for LPC, by the recurrence.  A stream whose
+frames can't be told apart this way, or of another shape (partitions, other
+block sizes, wider samples), goes to a plain sequential decoder.  What it gives
+are PCM blocks with their sample offsets; ``pcm_blocks`` writes them, and
+``read_flac`` computes payloads, digests and features from them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_slices
+from .common import documents, map_slices, select_exact
 
 BLOCK, RATE = 192, 8_000
 #: Frames between two points of the seek table; samples that one numpy step holds.
@@ -368,62 +373,112 @@ def decode_frame(stream: bytes, at: int, bits_default: int) -> tuple[list[int],
     return x, end + 2
 
 
-def decode_stream(stream: bytes) -> bytes:
-    """Payload bytes of a mono 8-bit stream, frame by frame; checks the stream's MD5."""
+def plain_blocks(stream: bytes) -> Iterator[bytes]:
+    """Payload bytes of the frames of a mono 8-bit stream, one by one; checks the stream's MD5 at the end."""
     info, _, at = metadata(stream)
-    samples: list[int] = []
+    digest, count = hashlib.md5(), 0
     while at < len(stream):
         x, at = decode_frame(stream, at, info["bits"])
-        samples += x
-    signed = np.array(samples, np.int8)
-    if len(samples) != info["samples"] or any(info["md5"]) and hashlib.md5(signed.tobytes()).digest() != info["md5"]:
+        signed = np.array(x, np.int8)
+        digest.update(signed.tobytes())
+        count += len(x)
+        yield (signed.view(np.uint8) ^ 0x80).tobytes()
+    if count != info["samples"] or any(info["md5"]) and digest.digest() != info["md5"]:
         raise FlacError("the samples differ from the stream's MD5")
-    return (signed.view(np.uint8) ^ 0x80).tobytes()
+
+
+def decode_stream(stream: bytes) -> bytes:
+    """Payload bytes of a mono 8-bit stream, frame by frame; checks the stream's MD5."""
+    return b"".join(plain_blocks(stream))
+
+
+@dataclass
+class _Part:
+    """A group of frames of one stream: bytes from its first frame on, and how many samples they hold."""
+
+    stream: int
+    sample: int
+    data: bytes
+    samples: int
+    last: bool
 
 
 class FlacReader:
-    """Payloads of FLAC streams, all frames of a batch in step."""
+    """PCM blocks of FLAC streams, all frames of a batch of groups in step."""
 
     def payloads(self, streams: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        batch, held = [], 0
-        for s in streams:
-            if batch and held + len(s) > GROUP:
-                out += self._batch(batch)
-                batch, held = [], 0
-            batch.append(s)
-            held += len(s)
-        return out + (self._batch(batch) if batch else [])
-
-    def _batch(self, streams: list[bytes]) -> list[bytes]:
-        heads = [metadata(s) for s in streams]
-        buffer = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
-        begin = np.cumsum([0, *map(len, streams)])
-        found = self._frame_starts(buffer, begin, heads)
-        plain = [i for i, f in enumerate(found) if f is None]
+        out: list[list[bytes]] = [[] for _ in streams]
+        for i, _, pcm in self.blocks(streams):
+            out[i].append(pcm)
+        return [b"".join(parts) for parts in out]
+
+    def blocks(self, streams: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        """(stream, sample offset, payload bytes) in order; raises FlacError before a stream's end if it is damaged."""
+        batch: list[_Part] = []
+        held = 0
+        state: dict[int, tuple] = {}
+        for i, stream in enumerate(streams):
+            for part in self._parts(i, stream):
+                if batch and held + len(part.data) > GROUP:
+                    yield from self._batch(batch, streams, state)
+                    batch, held = [], 0
+                batch.append(part)
+                held += len(part.data)
+        yield from self._batch(batch, streams, state)
+
+    @staticmethod
+    def _parts(i: int, stream: bytes) -> Iterator[_Part]:
+        """Groups of frames, cut at seek points; a stream without usable points is one group."""
+        info, points, first = metadata(stream)
+        cuts = [(s, first + at) for s, at, n in points if n]
+        usable = cuts[:1] == [(0, first)] and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(cuts, cuts[1:])) and cuts[-1][0] < info["samples"] and cuts[-1][1] < len(stream)
+        chosen = cuts[:1] if usable else [(0, first)]
+        for k, (s, at) in enumerate(cuts[1:] if usable else [], 1):
+            end = cuts[k + 1][1] if k + 1 < len(cuts) else len(stream)
+            if end - chosen[-1][1] > GROUP:
+                chosen.append((s, at))
+        ends = [*chosen[1:], (info["samples"], len(stream))]
+        for (s, at), (s_end, end) in zip(chosen, ends):
+            yield _Part(i, s, stream[at:end], s_end - s, end == len(stream))
+
+    def _batch(self, parts: list[_Part], streams: list[bytes], state: dict[int, tuple]) -> Iterator[tuple[int, int, bytes]]:
+        """Blocks of a batch of groups; ``state`` holds the digests of streams whose groups are not all read, None for those that the plain decoder takes over."""
+        if not parts:
+            return
+        buffer = np.frombuffer(b"".join(p.data for p in parts) + bytes(16), np.uint8)
+        begin = np.cumsum([0, *(len(p.data) for p in parts)])
+        found = self._frame_starts(buffer, begin, parts, [metadata(streams[p.stream])[0] for p in parts])
         starts = np.concatenate([f for f in found if f is not None] or [np.empty(0, np.int64)])
         sizes = np.concatenate([np.diff(np.append(f, begin[i + 1])) for i, f in enumerate(found) if f is not None] or [np.empty(0, np.int64)])
         samples, good = self._frames(buffer, starts, sizes)
-        out: list[bytes] = []
         row = 0
-        for i, (s, (info, _, _), f) in enumerate(zip(streams, heads, found)):
-            if f is None:
-                out.append(decode_stream(s))
+        for part, f in zip(parts, found):
+            i = part.stream
+            x = None
+            if f is not None:
+                if good[row : row + len(f)].all():
+                    x = samples[row : row + len(f)]
+                row += len(f)
+            if part.sample == 0:
+                state[i] = hashlib.md5()
+            if state[i] is None:
                 continue
-            x, ok = samples[row : row + len(f)], good[row : row + len(f)]
-            row += len(f)
-            if not ok.all():  # another shape of frame, or damage that the plain decoder names
-                out.append(decode_stream(s))
+            if x is None:  # another shape of frame, or damage that the plain decoder names: it gives all that is left
+                state[i], at = None, 0
+                for pcm in plain_blocks(streams[i]):
+                    if at + len(pcm) > part.sample:
+                        yield i, max(at, part.sample), pcm[max(0, part.sample - at) :]
+                    at += len(pcm)
                 continue
             signed = x.tobytes()
-            if hashlib.md5(signed).digest() != info["md5"]:
+            state[i].update(signed)
+            if part.last and state.pop(i).digest() != metadata(streams[i])[0]["md5"]:
                 raise FlacError("the samples differ from the stream's MD5")
-            out.append((x.reshape(-1).view(np.uint8) ^ 0x80).tobytes())
-        return out
+            yield i, part.sample, (x.reshape(-1).view(np.uint8) ^ 0x80).tobytes()
 
     @staticmethod
-    def _frame_starts(buffer: np.ndarray, begin: np.ndarray, heads: list) -> list[np.ndarray | None]:
-        """Positions of each stream's frames by sync code and header checksum; None if their number is not as expected."""
+    def _frame_starts(buffer: np.ndarray, begin: np.ndarray, parts: list[_Part], infos: list[dict]) -> list[np.ndarray | None]:
+        """Positions of each group's frames by sync code and header checksum; None if their number is not as expected."""
         b = buffer
         at = np.flatnonzero((b[:-16] == 0xFF) & (b[1:-15] == 0xF8) & (b[2:-14] == 0x14) & (b[3:-13] == 0x02))
         lead = b[at + 4]
@@ -435,10 +490,9 @@ class FlacReader:
         at = at[ok]
         cut = np.searchsorted(at, begin)
         out: list[np.ndarray | None] = []
-        for i, (info, _, first) in enumerate(heads):
+        for i, (part, info) in enumerate(zip(parts, infos)):
             own = at[cut[i] : cut[i + 1]]
-            own = own[own >= begin[i] + first]
-            fits = info["channels"] == 1 and info["bits"] == 8 and len(own) * BLOCK == info["samples"] and len(own) and own[0] == begin[i] + first
+            fits = info["channels"] == 1 and info["bits"] == 8 and len(own) * BLOCK == part.samples and len(own) and own[0] == begin[i]
             out.append(own if fits else None)
         return out
 
@@ -544,11 +598,22 @@ def payload_of(text: bytes | None) -> bytes:
     return data + b" " * (max(1, -(-len(data) // BLOCK)) * BLOCK - len(data))
 
 
-def feature_of(payload: bytes) -> str:
-    """Samples, mean, RMS and sign changes of the decoded signal."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
-    f = x.astype(np.float64)
-    return f"{len(x)}:{f.mean():.4f}:{np.sqrt((f * f).mean()):.4f}:{int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+class Features:
+    """Samples, mean, RMS and sign changes of a signal, with digest and tail, from its blocks in order."""
+
+    def __init__(self):
+        self.sha, self.tail, self.n, self.sum, self.squares, self.changes, self.negative = hashlib.sha256(), b"", 0, 0, 0, 0, None
+
+    def add(self, pcm: bytes) -> None:
+        x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+        negative = x < 0
+        self.changes += int((negative[1:] != negative[:-1]).sum()) + (self.negative is not None and bool(negative[0]) != self.negative)
+        self.n, self.sum, self.squares, self.negative = self.n + len(x), self.sum + int(x.sum()), self.squares + int((x * x).sum()), bool(negative[-1])
+        self.sha.update(pcm)
+        self.tail = (self.tail + pcm[-16:])[-16:]
+
+    def __str__(self) -> str:
+        return f"{self.n}:{self.sum / self.n:.4f}:{(self.squares / self.n) ** 0.5:.4f}:{self.changes}"
 
 
 def store_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lpc_order: int = 4) -> DataFrame:
@@ -558,7 +623,7 @@ def store_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     media.  Repeated rows and null ids are carried; other columns are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = select_exact(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.col("text").cast("binary"))
 
     def run(slices):
         writer = FlacWriter(lpc_order)
@@ -568,35 +633,79 @@ def store_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_slices(rows, f"doc_id {id_type}, n_bytes long, media binary", {"doc_id": "doc_id", "text": "text"}, run)
 
 
-def read_flac(stored: DataFrame, media_col: str = "media", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns with payload and feature, decoded from the stored bytes.
+def read_flac(stored: DataFrame, media_col: str = "media", carry: tuple[str, ...] = ("doc_id",), payloads: bool = True) -> DataFrame:
+    """The ``carry`` columns with payload_bytes, payload_sha256, tail_crc32, feature[, payload], read from the stored bytes block by block.
 
-    A damaged stream raises FlacError; a null stream gives nulls.
+    A damaged stream raises FlacError; a null stream gives nulls.  Without
+    ``payloads`` no more than a group of frames of a stream is held.
     """
-    names = {f"c{i}": c for i, c in enumerate(carry)}
+    names = {f"k{i}": c for i, c in enumerate(carry)}
     fields = ", ".join(f"{n} {stored.schema[c].dataType.simpleString()}" for n, c in names.items())
+    found = ["payload_bytes", "payload_sha256", "tail_crc32", "feature", *(["payload"] if payloads else [])]
 
     def run(slices):
         reader = FlacReader()
         for part in slices:
-            got = iter(reader.payloads([m for m in part["media"] if m is not None]))
-            payloads = [None if m is None else next(got) for m in part["media"]]
-            yield {n: part[n] for n in names} | {"payload": payloads, "feature": [None if p is None else feature_of(p) for p in payloads]}
-
-    out = map_slices(stored, f"{fields}, payload binary, feature string", names | {"media": media_col}, run)
-    return out.select(*(F.col(n).alias(c) for n, c in names.items()), "payload", "feature")
+            out = part | {k: [None] * len(part["media"]) for k in found}
+            rows = [r for r, m in enumerate(part["media"]) if m is not None]
+            seen: Features | None = None
+            kept: list[bytes] = []
+
+            def close(row: int) -> None:
+                values = [seen.n, seen.sha.hexdigest(), zlib.crc32(seen.tail), str(seen), b"".join(kept)]
+                for k, v in zip(found, values):
+                    out[k][row] = v
+                kept.clear()
+
+            row = None
+            for i, offset, pcm in reader.blocks([part["media"][r] for r in rows]):
+                if offset == 0:
+                    if row is not None:
+                        close(row)
+                    row, seen = rows[i], Features()
+                seen.add(pcm)
+                if payloads:
+                    kept.append(pcm)
+            if row is not None:
+                close(row)
+            yield out
+
+    kinds = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string" + (", payload binary" if payloads else "")
+    out = map_slices(stored, f"{fields}, {kinds}", names | {"media": media_col}, run)
+    return out.select(*(F.col(n).alias(c) for n, c in names.items()), *found)
 
 
 def pcm_blocks(stored: DataFrame, samples: int = 65_536, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """PCM blocks of each stream: doc_id, sample_offset, samples, pcm; a reader seeks by sample_offset."""
+    """PCM blocks of each stream: doc_id, sample_offset, samples, pcm; a reader seeks by sample_offset.
+
+    Null streams have no block; null ids and repeated rows are carried; a damaged
+    stream raises FlacError; no more than a group of frames and a block of a
+    stream is held.
+    """
     id_type = stored.schema[id_col].dataType.simpleString()
 
     def run(slices):
         reader = FlacReader()
         for part in slices:
             keys = [(i, m) for i, m in zip(part["doc_id"], part["media"]) if m is not None]
-            blocks = [(i, at, p[at : at + samples]) for (i, _), p in zip(keys, reader.payloads([m for _, m in keys])) for at in range(0, len(p), samples)]
-            yield {"doc_id": [b[0] for b in blocks], "sample_offset": [b[1] for b in blocks], "samples": [len(b[2]) for b in blocks], "pcm": [b[2] for b in blocks]}
+            now, first, held = None, 0, bytearray()
+
+            def cut(n: int):
+                nonlocal first
+                yield {"doc_id": [keys[now][0]], "sample_offset": [first], "samples": [n], "pcm": [bytes(held[:n])]}
+                first += n
+                del held[:n]
+
+            for i, offset, pcm in reader.blocks([m for _, m in keys]):
+                if offset == 0:
+                    if held:
+                        yield from cut(len(held))
+                    now, first = i, 0
+                held += pcm
+                while len(held) > samples:
+                    yield from cut(samples)
+            if held:
+                yield from cut(len(held))
 
     return map_slices(stored, f"doc_id {id_type}, sample_offset long, samples long, pcm binary", {"doc_id": id_col, "media": media_col}, run)
 
@@ -610,14 +719,5 @@ def seek(stream: bytes, sample: int) -> tuple[int, int]:
 
 def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_flac(documents(spark, sf_dir)).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    read = read_flac(stored, carry=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
-    return read.select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
-        "media_bytes",
-        "media_sha256",
-        "feature",
-    )
+    read = read_flac(stored, carry=("doc_id", "n_bytes", "media_bytes", "media_sha256"), payloads=False)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
