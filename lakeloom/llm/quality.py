@@ -20,11 +20,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, map_slices
+from .common import Scratch, bounded, documents, map_slices, select_exact
 
 BUCKET_BITS = 16
-#: Labels that may be broadcast at most (16 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_LABELS = 1_000_000
+#: Good labels that may be broadcast at most (an id each); beyond, they are joined by a shuffle.
+BROADCAST_LABELS = 250_000
 #: Values that the top-k threshold is picked from on the driver at most; bins of one narrowing step.
 LAST_VALUES, BINS = 10_000, 4_096
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -122,13 +122,11 @@ def importance_resample(
     spark = docs.sparkSession
     scratch = Scratch(spark, "resampling")
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    own = labels.select(F.col(f"`{id_col}`").alias("l_id"), F.col(f"`{quality_col}`").alias("q")).where("l_id IS NOT NULL AND q IS NOT NULL")
+    rows = select_exact(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.col("text").cast("binary"))
+    own = select_exact(labels, {"l_id": id_col, "q": quality_col}).where("l_id IS NOT NULL AND q IS NOT NULL")
     own = scratch.keep(own.groupBy("l_id").agg(F.max("q").alias("q")), "labels")
     labelled, good = own.agg(F.count(F.lit(1)), F.count_if(F.col("q") >= 1)).first()
-    good_ids = own.where("q >= 1").select("l_id")
-    if good <= BROADCAST_LABELS:
-        good_ids = F.broadcast(good_ids)
+    good_ids = bounded(own.where("q >= 1").select("l_id"), BROADCAST_LABELS)
     marked = rows.join(good_ids, F.col("doc_id") == F.col("l_id"), "left").select("text", F.col("l_id").isNotNull().alias("target"))
     ratio = fit(marked) if good else np.zeros(1 << BUCKET_BITS)
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_slices
+from .common import documents, map_slices, number_columns
 from .tokenizer import text_encoder
 
 RULES = ("first", "last", "split")
@@ -125,15 +125,18 @@ def field_counts(df: DataFrame, tokenizer_path: str, fields: list[str], separato
     """Tokens of each field of a row whose fields are encoded as one text, joined by ``separator``.
 
     doc_id, section (number of the field, -1 for separators), start, end,
-    n_tokens, n_crossing.  Null fields count as empty.
+    n_tokens, n_crossing.  Null fields count as empty; null ids, repeated rows and
+    other columns are treated as in ``token_counts``; an empty table gives an
+    empty result.
     """
-    parts = [F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in fields]
+    numbered, names = number_columns(df)
+    parts = [F.coalesce(F.col(names[f]).cast("string"), F.lit("")) for f in fields]
     start, spans = F.lit(0), []
     for p in parts:
         end = start + F.char_length(p)
         spans.append(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
         start = end + len(separator)
-    joined = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat_ws(separator, *parts).alias("text"), F.array(*spans).alias("spans"))
+    joined = numbered.select(F.col(names[id_col]).alias("doc_id"), F.concat_ws(separator, *parts).alias("text"), F.array(*spans).alias("spans"))
     return token_counts(joined, tokenizer_path, rule, spans_col="spans")
 
 
