@@ -20,6 +20,7 @@ from lakeloom.llm.tokenizer import TextEncoder
 
 from .conftest import awkward
 
+SMALL = "/root/testdata/sf0.001"
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 ROWS = [(r[0], r[1]) for r in awkward()]
 
@@ -236,6 +237,18 @@ def test_bpe_encode(docs, clashing, empty):
     same(got, want)
 
 
+def test_op2_digests(spark):
+    lib = Tokenizer.from_file(WORD)
+    lib.no_truncation()
+    lib.no_padding()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect():
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))))
+    same(bpe.op2_bpe_prefix_dp(spark, SMALL).collect(), want)
+
+
 # --- 3 quality -------------------------------------------------------------------
 def test_importance_resampling(spark, docs, clashing, empty):
     labels = spark.createDataFrame([(7, 1), (8, 1), (11, 1), (11, 0), (14, 0), (16, 0), (None, 1), (9, None)], "doc_id long, quality int")
@@ -289,6 +302,81 @@ def test_base_patterns_letter_case_and_lengths():
     assert re.fullmatch(secrets.HEX, "0" * 24)
 
 
+def brute_base(text):
+    """The base spans by a scanner without regular expressions."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low, n, spans = text.translate(fold), len(text), []
+
+    def run(at, allowed):
+        while at < n and text[at] in allowed:
+            at += 1
+        return at
+
+    at = 0
+    while at < n:
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, at):
+                x = at + len(word)
+                for a in ([x + 1, x] if x < n and text[x] in "\"'" else [x]):
+                    a = run(a, " ")
+                    if a < n and text[a] in ":=":
+                        a = run(a + 1, " ")
+                        b = a + 1 if a < n and text[a] in "\"'" else a
+                        if run(b, value) > b:
+                            end = (b, run(b, value))
+                            break
+                break
+        if end:
+            if end[1] - end[0] >= 6:
+                spans.append((at, 0, end[1]))
+            at = end[1]
+        else:
+            at += 1
+    for k, head, allowed, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), (2, "", "0123456789abcdef", 24)):
+        at = 0
+        while at < n:
+            if text.startswith(head, at) and (end := run(at + len(head), allowed)) > at + len(head):
+                if end - at >= least:
+                    spans.append((at, k, end))
+                at = end
+            else:
+                at += 1
+    return sorted(spans)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PASSWD", "Secret", "token", "api_key", "apiKEY", "api", "'", '"', " ", ":", "=", "abcdef", "0123456789abcdef01234567", "AKIA", "ABCDEFGH12345678", "x", "-", "_", "é", "\n", "K"]), max_size=25).map("".join))
+def test_base_spans_against_a_scanner(text):
+    assert secrets.base_spans(text) == brute_base(text)
+
+
+def test_op4_base_columns(spark):
+    got = {r.doc_id: r for r in secrets.op4_secret_scan(spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        spans, r = brute_base(d.text or ""), got[d.doc_id]
+        listed = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in spans) for x in range(3)]
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize("text, key", [("auth_key=%s", "Zk93hQ2xV7bLpT0sWmY4"), ("client_secret_value %s", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"), ("the private key: %s", "qWxEplZmVtTybNQuaRhs"), ("bearer: %s", "kqzjXwvnPtyrLmbdGhsc"), ("private a=b=%s z", "Zk93hQ2xV7bLpT0sWmY4==")])
+def test_novel_spans_begin_at_the_value(text, key):
+    whole = text % key
+    assert [whole[a:b] for a, _, b in secrets.novel_spans(whole, secrets.base_spans(whole))] == [key]
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    r = random.Random(1)
+    line = lambda: f"secret: {''.join(r.choice('0123456789abcdef') for _ in range(32))}\n"
+    text = "".join(line() for _ in range(20_000))
+    assert len(secrets.base_spans(text)) == 40_000 and secrets.novel_spans(text, secrets.base_spans(text)) == []
+
+
 def test_novel_strings_in_sensitive_context():
     key = "Zk93hQ2xV7bLpT0sWmY4"
     text = f"the private signing material is {key} here"
@@ -358,6 +446,56 @@ def test_distance_is_the_out_of_place_measure():
     assert p.predict("abba xy") == (best, pytest.approx(1 - want[best] / (50 * len(own))))
 
 
+def test_no_language_is_lost_to_copies_or_to_many_labels(spark):
+    rows = [(i, "xyzzy zyx yxz zzyx", "xx") for i in range(30_000)] + [(50_000, "xyzzy zyx yxz zzyx", "xx")] * 3_000
+    rows += [(100_000 + i, f"the river and the stone number {i}", "en") for i in range(300)] + [(200_000 + i, "ab" * (i % 7 + 1), f"l{i}") for i in range(1_200)]
+    profiles = language_id.fit_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=20, size=50, id_col="doc_id")
+    assert set(profiles.languages) == {"xx", "en", *(f"l{i}" for i in range(1_200))}
+    assert profiles.predict("the river and the stone")[0] == "en" and profiles.predict("zyx xyzzy")[0] == "xx"
+
+
+def test_most_frequent_against_a_sort():
+    r = np.random.default_rng(6)
+    for _ in range(50):
+        n = int(r.integers(1, 400))
+        codes, counts = np.sort(r.choice(10**6, n, replace=False)), r.integers(1, 6, n)
+        want = [c for _, c in sorted(zip(-counts, codes))]
+        for k in (1, 20, 1_000):
+            assert language_id.most_frequent(codes, counts, k).tolist() == want[:k]
+
+
+def test_op5_against_brute_force(spark):
+    """Distances by dictionaries, from profiles that are recounted in Python over the same rows."""
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        symbols = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+        symbols = [c for k, c in enumerate(symbols) if c != " " or k == 0 or symbols[k - 1] != " "]
+        own = Counter(c for c in symbols if c != " ")
+        own.update(a + b for a, b in zip(symbols, symbols[1:]))
+        own.update(a + b + c for a, b, c in zip(symbols, symbols[1:], symbols[2:]) if b != " ")
+        return own
+
+    def order(counts, k):
+        code = lambda g: sum((1 if c == " " else ord(c) + 2) << 21 * (len(g) - 1 - j) for j, c in enumerate(g))
+        return sorted(counts, key=lambda g: (-counts[g], code(g)))[:k]
+
+    totals, held = {}, {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in d}
+    for r in d:
+        if r.lang is not None and r.text is not None and not held[r.doc_id]:
+            totals.setdefault(r.lang, Counter()).update(grams(r.text))
+    places = {lang: {g: k for k, g in enumerate(order(c, 500))} for lang, c in totals.items()}
+    for r in language_id.op5_language_id(spark, SMALL).collect():
+        text = next(x.text for x in d if x.doc_id == r.doc_id)
+        own = order(grams(text or ""), 300) if text and any(c.isalpha() for c in text) else []
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        far = {lang: sum(min(500, abs(k - p[g])) if g in p else 500 for k, g in enumerate(own)) for lang, p in places.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        assert (r.held_out, r.lang_pred, r.score) == (held[r.doc_id], best, pytest.approx(1 - far[best] / (500 * len(own))))
+
+
 def test_language_id_edges(docs, clashing, empty, monkeypatch):
     profiles = language_id.fit_profiles(docs)
     got = same_with_and_without_extras(lambda d: language_id.identify(d, profiles), docs, clashing, empty)
@@ -510,8 +648,40 @@ def test_flac_seek_points_start_frames():
         assert first <= sample and bytes((v + 128) & 255 for v in x) == PAYLOADS[-1][first : first + flac.BLOCK]
 
 
+def test_long_streams_are_read_by_groups_of_frames(monkeypatch):
+    monkeypatch.setattr(flac, "GROUP", 1 << 14)
+    r = np.random.default_rng(4)
+    payloads = [PAYLOADS[0], flac.payload_of(r.integers(32, 127, 400_000, np.uint8).tobytes()), PAYLOADS[-1], flac.payload_of(b"ab" * 90_000)]
+    streams = flac.FlacWriter(4).streams(payloads)
+    parts = list(flac.FlacReader._parts(0, streams[1]))
+    assert len(parts) > 10 and max(len(p.data) for p in parts) <= 1 << 14
+    blocks = list(flac.FlacReader().blocks(streams))
+    assert [b"".join(x for i, _, x in blocks if i == k) for k in range(4)] == payloads
+    assert all(payloads[i][at : at + len(x)] == x for i, at, x in blocks)
+    bad = bytearray(streams[1])
+    bad[len(bad) - 500] ^= 8
+    with pytest.raises(flac.FlacError):
+        list(flac.FlacReader().blocks([streams[0], bytes(bad)]))
+
+
+def test_op7_digests(spark):
+    got = {r.doc_id: r for r in flac.op7_flac_media(spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        data = (d.text or "").encode()
+        payload, r = flac.payload_of(data), got[d.doc_id]
+        media = flac.FlacWriter(4).streams([payload])[0]
+        x = np.frombuffer(payload, np.uint8).astype(float) - 128
+        changes = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        n, mean, rms, crossed = r.feature.split(":")
+        assert (int(n), int(crossed)) == (len(x), changes) and abs(float(mean) - x.mean()) < 1e-3 and abs(float(rms) - (x * x).mean() ** 0.5) < 1e-3
+
+
 def test_flac_columns(docs, clashing, empty):
-    got = same_with_and_without_extras(lambda d: flac.read_flac(flac.store_flac(d)), docs, clashing, empty)
+    got = same_with_and_without_extras(lambda d: flac.read_flac(flac.store_flac(d)).select("doc_id", "payload"), docs, clashing, empty)
     same([(r.doc_id, bytes(r.payload)) for r in got], [(i, flac.payload_of((t or "").encode())) for i, t in ROWS])
     blocks = flac.pcm_blocks(flac.store_flac(docs.where("doc_id = 12")), samples=960).orderBy("sample_offset").collect()
     assert b"".join(bytes(b.pcm) for b in blocks) == flac.payload_of(ROWS[11][1].encode())
