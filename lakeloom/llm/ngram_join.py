@@ -16,8 +16,9 @@
    the length filter, the positional filter and a bitmap filter over the whole
    sets: two sets differ in at least as many hashes as ranges in parity.  First
    each node meets a few pivots of its shingle; components of the verified links
-   then show what is settled.  After that every node meets all others of its
-   shingle that are not in its component yet, except that members of a
+   then show what is settled, and in shingles that are not, nodes outside the
+   largest component meet a few more.  After that every node meets all others of
+   its shingle that are not in its component yet, except that members of a
    shingle's largest component don't meet each other.  So all links between
    components are found, while a group of near copies costs a few pairs a node.
 4. *Suffixes and verification.*  The sets of distinct pairs are joined; the set of
@@ -27,8 +28,9 @@
    much the parts' sizes differ.  Only pairs that pass have their intersection
    counted, once per pair.
 
-Shingles are compared by 64-bit hashes; a node is (smallest id, 64-bit signature,
-size), so equal sets are one node, and sets of an id with several texts are several.
+Shingles are compared by 64-bit hashes; a node is a number given to each (64-bit
+signature, size), so equal sets are one node, and sets of an id with several
+texts are several.
 """
 
 from __future__ import annotations
@@ -48,13 +50,13 @@ WORDS, THRESHOLD = 5, 80
 #: Counters of the sketch and slices it is summed in; ranges of the bitmap filter.
 SKETCH_BITS, SLICES, RANGE_BITS = 22, 64, 8
 #: Nodes a salted shingle has in one task, about; pivots a shingle has in each round.
-SALTED, PIVOTS = 8_192, (4,)
+SALTED, PIVOTS = 8_192, (4, 8)
 #: Partial sketches that one task adds up.
 FAN_IN = 256
 #: Nodes of a block of one shingle, pairs that one copy of a set serves, documents of a set in one task.
 BLOCK, PAIRS_OF_A_SET, COPIES = 4_096, 128, 1 << 17
 #: Times that the suffix filter parts the suffixes.
-SUFFIX_DEPTH = 4
+SUFFIX_DEPTH = 2
 ODD = ("o0", "o1", "o2", "o3")
 #: Bounds of the packed word: shingles of one text, salts of one shingle.
 MOST_SHINGLES, MOST_SALTS = (1 << 28) - 1, 126
@@ -233,7 +235,7 @@ def _passes(threshold: int):
 
     Sets that link differ in at most |a| + |b| - 2 ceil(t (|a| + |b|) / (100 + t)) hashes.
     """
-    a_n, b_n = F.col("a.node.n"), F.col("b.node.n")
+    a_n, b_n = F.col("a.n").cast("long"), F.col("b.n").cast("long")
     least, sizes = F.least(a_n - F.col("a.pos"), b_n - F.col("b.pos")), a_n + b_n
     length = (a_n * 100 >= b_n * threshold) & (b_n * 100 >= a_n * threshold)
     apart = sum((F.bit_count(F.col(f"a.{k}").bitwiseXOR(F.col(f"b.{k}"))) for k in ODD), F.lit(0))
@@ -245,8 +247,10 @@ def _pairs(joined: DataFrame) -> DataFrame:
     """(p, q, p_pos, q_pos) of each pair once, p before q, with the first places where they met."""
     a_first = F.col("a.node") < F.col("b.node")
     pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
-    met = joined.select(pick("a.node", "b.node").alias("p"), pick("b.node", "a.node").alias("q"), pick("a.pos", "b.pos").alias("p_pos"), pick("b.pos", "a.pos").alias("q_pos"))
-    return met.groupBy("p", "q").agg(F.min(F.struct("p_pos", "q_pos")).alias("at")).select("p", "q", "at.*")
+    places = F.shiftleft(pick("a.pos", "b.pos").cast("long"), 32) + pick("b.pos", "a.pos")
+    met = joined.select(pick("a.node", "b.node").alias("p"), pick("b.node", "a.node").alias("q"), places.alias("at"))
+    met = met.groupBy("p", "q").agg(F.min("at").alias("at"))
+    return met.select("p", "q", F.shiftright("at", 32).cast("int").alias("p_pos"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("q_pos"))
 
 
 def suffix_difference(x: np.ndarray, y: np.ndarray, depth: int = SUFFIX_DEPTH) -> int:
@@ -321,18 +325,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mean = float(sketch.sum(dtype=np.float64) / len(sketch))
 
     linked = own.where("n > 0 AND doc_id IS NOT NULL")
-    described_nodes = linked.groupBy("sig", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.first(k).alias(k) for k in ODD))
-    nodes = scratch.keep(described_nodes.select("sig", "n", F.struct("id", "sig", "n").alias("node"), "copies", *ODD), "nodes")
+    nodes = linked.groupBy("sig", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.first(k).alias(k) for k in ODD))
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so the numbers stay
     shared = spark.sparkContext.broadcast(sketch)  # 16 MB, whatever the input
     postings = scratch.keep(_shared_only(_prefixes(rows.where("doc_id IS NOT NULL"), shared, mean, width, threshold)), "shared")
-    postings = scratch.keep(postings.join(nodes, ["sig", "n"]).select("h", "node", "pos", *ODD), "postings")
+    postings = postings.join(nodes.withColumn("n", F.col("n").cast("int")), ["sig", "n"])
+    postings = scratch.keep(postings.select("h", "node", "n", "pos", *ODD), "postings")
     scratch.drop("shared")
     blocks = heavy_keys(postings, ["h"], BLOCK, scratch, "blocks")
 
     def to_sets(slices):
         seen: set[tuple] = set()
         for part in slices:
-            out: dict[str, list] = {"node": [], "hashes": []}
+            out: dict[str, list] = {"id": [], "sig": [], "n": [], "hashes": []}
             for doc_id, text in zip(part["doc_id"], part["text"]):
                 s = shingle_set(text, width)
                 if not len(s) or (key := (doc_id, signature(s), len(s))) in seen:
@@ -340,16 +345,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(key)
-                out["node"].append(dict(zip(("id", "sig", "n"), key)))
-                out["hashes"].append(s.view(np.int64))
+                for k, v in zip(out, (*key, s.view(np.int64))):
+                    out[k].append(v)
             yield out
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         """(node, hashes) of the nodes that occur in pairs; only their texts go to Python again."""
-        wanted = scratch.keep(pairs.select(F.col("p").alias("node")).union(pairs.select("q")).distinct(), f"{name}-wanted")
-        ids = bounded(scratch.keep(wanted.select(F.col("node.id").alias("doc_id")).distinct(), f"{name}-ids"))
-        found = map_slices(rows.join(ids, "doc_id", "left_semi"), f"node struct<id: {id_type}, sig: bigint, n: bigint>, hashes array<bigint>", {"doc_id": "doc_id", "text": "text"}, to_sets)
-        sets = scratch.keep(found.join(bounded(wanted), "node", "left_semi"), name)
+        wanted = pairs.select(F.col("p").alias("node")).union(pairs.select("q")).distinct()
+        wanted = scratch.keep(nodes.join(wanted, "node").select("node", "id", "sig", "n"), f"{name}-wanted")
+        ids = bounded(scratch.keep(wanted.select(F.col("id").alias("doc_id")).distinct(), f"{name}-ids"))
+        found = map_slices(rows.join(ids, "doc_id", "left_semi"), f"id {id_type}, sig long, n long, hashes array<bigint>", {"doc_id": "doc_id", "text": "text"}, to_sets)
+        sets = scratch.keep(found.join(bounded(wanted), ["id", "sig", "n"]).select("node", "hashes"), name)
         if sets.count() > wanted.count():  # rows that repeat id and text in several tasks
             sets = scratch.keep(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), f"{name}-once")
         return sets
@@ -359,15 +365,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         here = postings.withColumn("label", F.col("node"))
         if links is not None:
             settled = scratch.keep(components(links, scratch, f"stars{k}"), f"labels{k}")
-            here = postings.join(settled, "node", "left").select("h", "node", "pos", *ODD, F.coalesce("root", "node").alias("label"))
+            here = postings.join(settled, "node", "left").select("h", "node", "n", "pos", *ODD, F.coalesce("root", "node").alias("label"))
             ranked = here.groupBy("h", "label").agg(F.count(F.lit(1)).alias("rows"))
             main = ranked.groupBy("h").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
             here = scratch.keep(dealt_join(here, main.select("h", "main"), ["h"], blocks, F.col("node")), f"open{k}")
         if pivots:
             order = F.xxhash64("node", F.lit(k))
-            some = here.groupBy("h", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "pos", "label", *ODD)).alias("best"))
-            others = some.select("h", *(f"best.{c}" for c in ("node", "pos", "label", *ODD)))
-            a, b = dealt(here, ["h"], blocks, F.col("node"), "i").withColumn("j", F.lit(0)), repeated(others, ["h"], blocks, "i").withColumn("j", F.lit(0))
+            some = here.groupBy("h", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "label", *ODD)).alias("best"))
+            others = some.select("h", *(f"best.{c}" for c in ("node", "n", "pos", "label", *ODD)))
+            minor = here if links is None else here.where("label <> main")
+            a, b = dealt(minor, ["h"], blocks, F.col("node"), "i").withColumn("j", F.lit(0)), repeated(others, ["h"], blocks, "i").withColumn("j", F.lit(0))
         else:
             minor = here if links is None else here.where("label <> main")
             a = repeated(dealt(minor, ["h"], blocks, F.col("node"), "i"), ["h"], blocks, "j")
@@ -391,9 +398,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = linked.join(bounded(several), "doc_id", "left_semi").select("doc_id", "sig", "n").distinct().join(nodes, ["sig", "n"])
         texts = scratch.keep(texts.select("doc_id", "node"), "texts")
         first = texts.groupBy("doc_id").agg(F.min("node").alias("p"))
-        links = links.unionByName(dealt_join(texts, first, ["doc_id"], heavy_keys(texts, ["doc_id"], BLOCK, scratch, "heavy-ids"), F.col("node")).select("p", F.col("node").alias("q")))
+        heavy = heavy_keys(texts, ["doc_id"], BLOCK, scratch, "heavy-ids")
+        links = links.unionByName(dealt_join(texts, first, ["doc_id"], heavy, F.col("node")).select("p", F.col("node").alias("q")))
     roots = components(links, scratch, "final")
-    placed = nodes.join(roots, "node", "left").select("sig", "n", F.col("node.id").alias("class_id"), F.coalesce("root.id", "node.id").alias("component_id"))
+    placed = scratch.keep(nodes.join(roots, "node", "left").select("sig", "n", "copies", F.col("id").alias("class_id"), "root"), "placed")
+    grouped = placed.where("root IS NOT NULL")
+    least = scratch.keep(grouped.groupBy("root").agg(F.min("class_id").alias("component_id")), "least")
+    large = heavy_keys(grouped, ["root"], COPIES, scratch, "large")
+    grouped = dealt_join(grouped, bounded(least), ["root"], large, F.col("sig"))
+    single = placed.where("root IS NULL").withColumn("component_id", F.col("class_id"))
+    placed = grouped.unionByName(single).select("sig", "n", "class_id", "component_id")
     copies = scratch.keep(nodes.where(F.col("copies") > COPIES).select("sig", "n", F.ceil(F.col("copies") / COPIES).cast("long").alias("parts")), "copies")
     alone = F.col("class_id").isNull() | F.col("doc_id").isNull()
     return dealt_join(own, placed, ["sig", "n"], None if copies.isEmpty() else bounded(copies), F.col("doc_id"), "left").select(
