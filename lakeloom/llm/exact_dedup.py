@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_KEYS, Scratch, bounded, dealt, documents, repeated, select_exact
 
 #: Hashes that a bucket of the index may hold before it is split; rows of one hash in one task.
-CAPACITY, ROWS_OF_A_PART = 1 << 12, 1 << 14
+CAPACITY, ROWS_OF_A_PART = 1 << 12, 1 << 10
 #: Leading hash bits that the directory can use; bounds it to 65,536 entries.
 MAX_DEPTH = 16
 #: Links of the index that may be broadcast (about 150 bytes each); beyond, they are joined by a shuffle.
