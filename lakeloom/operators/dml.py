@@ -8,12 +8,14 @@ row is none.
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass, field
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import MergeCardinalityError, SchemaMismatch
 from ..plans import predicates, scan
@@ -133,6 +135,17 @@ def update(table: Table, condition: Column | str | list, assignments: Assignment
     return tx.add_files(target.write(target.rows(files).select(*_assigned(table, assignments, hit))))
 
 
+def _equal_columns(on: str) -> dict[str, str]:
+    """{target column: source column} of a condition that is a conjunction of equalities t.a = s.b; else none."""
+    found = {}
+    for term in re.split(r"\s+AND\s+", on.strip(), flags=re.I):
+        m = re.fullmatch(r"([ts])\.(\w+)\s*=\s*([ts])\.(\w+)", term.strip())
+        if not m or m[1] == m[3]:
+            return {}
+        found[m[2] if m[1] == "t" else m[4]] = m[4] if m[1] == "t" else m[2]
+    return found
+
+
 @dataclass
 class Clause:
     action: str  # update, delete or insert
@@ -199,11 +212,28 @@ class MergeBuilder:
             out.append((_as_column(given[f.name]).cast(kind) if f.name in given else rest).alias(f.name))
         return F.struct(*out)
 
+    def _key_bounds(self, source: DataFrame) -> list[predicates.Triple]:
+        """Comparisons that every target row with a source row's keys satisfies; they prune the target's files."""
+        if isinstance(self.on, Column):
+            return []
+        keys = {k: k for k in self.on or self.table.schema.identifiers} if not isinstance(self.on, str) else _equal_columns(self.on)
+        bounded = [f.name for f in writer.stat_columns(self.table.schema) if not isinstance(spark_type(f.type), T.TimestampType)]
+        keys = {t: s for t, s in keys.items() if t in bounded and s in source.columns and source.schema[s].dataType == spark_type(self.table.schema.need(t).type)}
+        if not keys:
+            return []
+        found = source.agg(*(f(F.col(f"`{s}`")) for s in keys.values() for f in (F.min, F.max))).first()
+        out = []
+        for i, k in enumerate(keys):
+            low, high = found[2 * i], found[2 * i + 1]
+            if low is not None and low == low and high == high:  # a NaN bounds nothing
+                out += [(k, ">=", low), (k, "<=", high)]
+        return out
+
     @staticmethod
-    def _first(clauses: list[Clause]) -> Column:
-        """The number of the first clause whose condition is true; null if none."""
+    def _first(clauses: list[Clause], start: int = 0) -> Column:
+        """The number of the first clause whose condition is true, counted from ``start``; null if none."""
         c = None
-        for k, clause in enumerate(clauses):
+        for k, clause in enumerate(clauses, start):
             hit = _true(clause.condition)
             c = F.when(hit, F.lit(k)) if c is None else c.when(hit, F.lit(k))
         return c if c is not None else F.lit(None).cast("int")
@@ -216,34 +246,29 @@ class MergeBuilder:
             # The source is read several times: written once, it is the same each time.
             self.source.write.parquet(f"{staging}/source")
             s = spark.read.schema(self.source.schema).parquet(f"{staging}/source").alias("s")
-            target = _Target(table)
+            target = _Target(table, self._key_bounds(s))
             t = target.rows().alias("t")
-            on = self._on()
-            changed = None
+            # One join from the source gives the changed and the new rows.
+            found = s.join(t, self._on(), "left" if self.unmatched else "inner")
+            known = F.col(f"t.{scan.FILE}").isNotNull()
+            acting = F.when(known, self._first(self.matched)).otherwise(self._first(self.unmatched, len(self.matched)))
+            clauses = [*self.matched, *self.unmatched]
+            value = F.lit(None).cast(table.schema.spark())
+            for k, clause in enumerate(clauses):
+                if clause.action != "delete":
+                    value = F.when(F.col("__clause") == k, self._values(clause, clause.action == "update")).otherwise(value)
+            kinds = F.element_at(F.array(*(F.lit(c.action) for c in clauses)), F.col("__clause") + 1)
+            picked = found.withColumn("__clause", acting).where("__clause IS NOT NULL")
+            picked = picked.select(F.col(scan.FILE), F.col(scan.POS), kinds.alias("__action"), value.alias("__row"))
+            picked.write.parquet(f"{staging}/changed")
+            picked = spark.read.schema(picked.schema).parquet(f"{staging}/changed")
+            changed = picked.where("__action <> 'insert'")
+            files, hits = [], 0
             if self.matched:
-                acting = F.coalesce(self._first(self.matched), F.lit(-1))
-                value = None
-                for k, clause in enumerate(self.matched):
-                    if clause.action == "update":
-                        own = F.col("__clause") == k
-                        value = F.when(own, self._values(clause, True)) if value is None else value.when(own, self._values(clause, True))
-                picked = t.join(s, on).withColumn("__clause", acting).where("__clause >= 0")
-                kinds = F.element_at(F.array(*(F.lit(c.action) for c in self.matched)), F.col("__clause") + 1)
-                row = value if value is not None else F.lit(None).cast(table.schema.spark())
-                picked = picked.select(F.col(scan.FILE), F.col(scan.POS), kinds.alias("__action"), row.alias("__row"))
-                picked.write.parquet(f"{staging}/changed")
-                changed = spark.read.schema(picked.schema).parquet(f"{staging}/changed")
                 if changed.groupBy(scan.FILE, scan.POS).count().where("count > 1").limit(1).count():
                     raise MergeCardinalityError("several source rows would change one target row")
-            files, hits = _touched(changed, F.lit(True)) if changed is not None else ([], 0)
-            inserts, inserted = None, 0
-            if self.unmatched:
-                new = s.join(t, on, "left_anti").withColumn("__clause", self._first(self.unmatched)).where("__clause IS NOT NULL")
-                value = None
-                for k, clause in enumerate(self.unmatched):
-                    own = F.col("__clause") == k
-                    value = F.when(own, self._values(clause, False)) if value is None else value.when(own, self._values(clause, False))
-                inserts = new.select(value.alias("__row")).select("__row.*")
+                files, hits = _touched(changed, F.lit(True))
+            inserts, inserted = (picked.where("__action = 'insert'").select("__row.*") if self.unmatched else None), 0
             if files and self.strategy == MERGE_ON_READ:
                 tx.add_files(writer.write_position_deletes(changed.select(F.col(scan.FILE).alias("file_path"), F.col(scan.POS).alias("pos")), table.location))
                 tx.add_files(target.write(changed.where("__action = 'update'").select("__row.*")))

@@ -17,6 +17,7 @@ if TYPE_CHECKING:
     from ..table import Table
 
 TARGET_SIZE, MIN_FILES, RETAIN_HOURS = 128 << 20, 5, 168
+Z = "__lakeloom_z"
 
 
 @dataclass(frozen=True)
@@ -66,9 +67,7 @@ def compact(
     rows = scan.to_frame(table.spark, table.metadata, tasks, table.schema)
     size = sum(t.data.file.file_size for t in tasks)
     n = max(1, -(-size // target_size))
-    rows = _layout(rows, strategy, columns or [], n)
-    # A partitioned table is rebalanced by its partition values while writing.
-    files = writer.write_data(rows, table.schema, table.spec, table.location)
+    files = _rewrite(table, rows, strategy, columns or [], n)
     tx = Transaction(table, "replace", files, data_sequence=table.metadata.last_sequence)
     removed = {t.data.file.path for t in tasks}
     tx.delete_files(removed)
@@ -82,13 +81,17 @@ def compact(
     return CompactResult(len(tasks), len(files), sum(f.record_count for f in files))
 
 
-def _layout(rows: DataFrame, strategy: str, columns: list[str], n: int) -> DataFrame:
+def _rewrite(table: Table, rows: DataFrame, strategy: str, columns: list[str], n: int) -> list[M.DataFile]:
+    """Writes rows in a layout.  A partitioned table is rebalanced by its partition values, so its rows are ordered after that."""
     if strategy == "binpack":
-        return rows.repartition(n)
-    if strategy == "sort":
-        return rows.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
-    z = transforms.z_value(rows, columns)
-    return rows.withColumn("__z", z).repartitionByRange(n, "__z").sortWithinPartitions("__z").drop("__z")
+        rows = rows if table.spec.fields else rows.repartition(n)
+        return writer.write_data(rows, table.schema, table.spec, table.location)
+    order = columns
+    if strategy == "zorder":
+        rows, order = transforms.with_z_value(rows, columns, Z), [Z]
+    if not table.spec.fields:
+        rows = rows.repartitionByRange(n, *order)
+    return writer.write_data(rows, table.schema, table.spec, table.location, order=order)
 
 
 def expire_snapshots(table: Table, older_than_ms: int | None = None, retain_last: int = 1, now_ms: int | None = None) -> list[int]:

@@ -271,3 +271,13 @@ def metrics_of(entries: list[Entry]) -> dict[str, int]:
     """Exact totals; records are those of data files, before deletes."""
     data = [e.file for e in entries if e.file.content == DATA]
     return {"total-records": sum(f.record_count for f in data), "total-files": len(entries), "total-bytes": sum(e.file.file_size for e in entries)}
+
+
+def totals_of(meta: TableMetadata, snapshot: Snapshot | None) -> dict[str, int]:
+    """Totals of the current state from metadata alone: the table's metrics, and the data files of the snapshot's summary."""
+    if snapshot is None:
+        return {"total-records": 0, "total-files": 0, "total-bytes": 0, "total-data-files": 0}
+    if "total-data-files" not in snapshot.summary:
+        entries = snapshot.entries()
+        return metrics_of(entries) | {"total-data-files": sum(e.file.content == DATA for e in entries)}
+    return meta.metrics | {"total-data-files": snapshot.count("total-data-files")}

@@ -8,8 +8,8 @@ and column pruning still go down to the Parquet scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..sources import storage
 from . import predicates
 from .metadata import DATA, EQUALITY_DELETES, POSITION_DELETES, Entry, Snapshot, TableMetadata
-from .schema import FIELD_ID, Field, Schema, spark_field
+from .schema import FIELD_ID, Field, Schema, spark_field, spark_type
 
 FILE, POS, SEQ = "__lakeloom_file", "__lakeloom_pos", "__lakeloom_seq"
 #: Delete rows, and files of a file-to-sequence map, that may be broadcast at most.
@@ -35,14 +35,20 @@ class ScanTask:
     deletes: tuple[Entry, ...]
 
 
-@lru_cache(maxsize=4096)
-def _bucket(value: Any, n: int, spark_type: str) -> int:
-    spark = SparkSession.getActiveSession()
-    return spark.range(1).select(F.pmod(F.hash(F.lit(value).cast(spark_type)), F.lit(n)).alias("b")).first()["b"]
-
-
-def bucket_of(value: Any, n: int, kind: dict) -> int:
-    return _bucket(value, n, spark_field(Field(0, "x", kind)).dataType.simpleString())
+def _buckets(condition: list, schema: Schema, specs: dict) -> Callable[[Any, int, dict], int]:
+    """The bucket of each literal that is compared with a bucketed column; all are hashed in one job."""
+    sources = {p.source_id for s in specs.values() for p in s.fields if p.transform.startswith("bucket")}
+    wanted: dict[tuple, None] = {}
+    for name, op, value in condition:
+        f = schema.find(name)
+        if f is not None and f.id in sources and op.lower() in ("=", "in"):
+            kind = spark_type(f.type).simpleString()
+            wanted |= dict.fromkeys((v, kind) for v in (value if op.lower() == "in" else [value]) if v is not None)
+    hashes: dict[tuple, int] = {}
+    if wanted:
+        each = F.array(*(F.hash(F.lit(v).cast(kind)) for v, kind in wanted))
+        hashes = dict(zip(wanted, SparkSession.getActiveSession().range(1).select(each.alias("h")).first()["h"]))
+    return lambda value, n, kind: hashes[value, spark_type(kind).simpleString()] % n
 
 
 def plan(meta: TableMetadata, snapshot: Snapshot | None, schema: Schema, condition=None) -> list[ScanTask]:
@@ -52,7 +58,8 @@ def plan(meta: TableMetadata, snapshot: Snapshot | None, schema: Schema, conditi
     entries = snapshot.entries()
     triples = predicates.pruning_triples(condition)
     specs = {s.spec_id: s for s in meta.specs}
-    data = [e for e in entries if e.file.content == DATA and (not triples or predicates.file_may_match(e.file, triples, schema, specs, bucket_of))]
+    bucket = _buckets(triples, schema, specs)
+    data = [e for e in entries if e.file.content == DATA and (not triples or predicates.file_may_match(e.file, triples, schema, specs, bucket))]
     by_target: dict[str, list[Entry]] = {}
     equality = []
     for e in entries:

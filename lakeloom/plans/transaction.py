@@ -148,36 +148,45 @@ class Transaction:
             return meta
 
         parent = latest.snapshot()
-        refs, dropped = [], []
+        refs, dropped, left = [], [], set(self.removed)
         for ref in parent.manifests() if parent else []:
-            entries = M.read_manifest(ref.path)
-            live = [e for e in entries if e.status != M.DELETED]
-            hit = [e for e in live if e.file.path in self.removed]
-            if hit:
-                dropped += hit
-                changed = [replace(e, status=M.DELETED, snapshot_id=sequence) if e in hit else replace(e, status=M.EXISTING) for e in live]
-                refs.append(M.write_manifest(latest.location, changed, ref.content, sequence, sequence))
-            elif live:
+            if not ref.added + ref.existing:
+                continue
+            # Manifests are read only until every removed file is found: an append reads none.
+            live = [e for e in M.read_manifest(ref.path) if e.status != M.DELETED] if left else []
+            hit = [e for e in live if e.file.path in left]
+            if not hit:
                 refs.append(ref)
+                continue
+            dropped += hit
+            left -= {e.file.path for e in hit}
+            changed = [replace(e, status=M.DELETED, snapshot_id=sequence) if e.file.path in self.removed else replace(e, status=M.EXISTING) for e in live]
+            refs.append(M.write_manifest(latest.location, changed, ref.content, sequence, sequence))
         for content in ("data", "deletes"):
             own = [f for f in self.added if (f.content == M.DATA) == (content == "data")]
             if own:
                 at = self.data_sequence if content == "data" and self.data_sequence is not None else sequence
                 refs.append(M.write_manifest(latest.location, [M.Entry(M.ADDED, sequence, at, f) for f in own], content, sequence, sequence))
         listed = M.write_list(latest.location, sequence, refs)
-        live = [e for ref in refs for e in M.read_manifest(ref.path) if e.status != M.DELETED]
-        metrics = M.metrics_of(live)
         data = [f for f in self.added if f.content == M.DATA]
+        gone = [e.file for e in dropped if e.file.content == M.DATA]
+        before = M.totals_of(latest, parent)
+        metrics = {
+            "total-records": before["total-records"] + sum(f.record_count for f in data) - sum(f.record_count for f in gone),
+            "total-files": before["total-files"] + len(self.added) - len(dropped),
+            "total-bytes": before["total-bytes"] + sum(f.file_size for f in self.added) - sum(e.file.file_size for e in dropped),
+        }
+        data_files = before["total-data-files"] + len(data) - len(gone)
         summary = {
             "added-data-files": str(len(data)),
             "added-records": str(sum(f.record_count for f in data)),
             "added-files-size": str(sum(f.file_size for f in self.added)),
             "added-delete-files": str(len(self.added) - len(data)),
-            "deleted-data-files": str(sum(e.file.content == M.DATA for e in dropped)),
-            "deleted-records": str(sum(e.file.record_count for e in dropped if e.file.content == M.DATA)),
+            "deleted-data-files": str(len(gone)),
+            "deleted-records": str(sum(f.record_count for f in gone)),
             "total-records": str(metrics["total-records"]),
-            "total-data-files": str(sum(e.file.content == M.DATA for e in live)),
-            "total-delete-files": str(sum(e.file.content != M.DATA for e in live)),
+            "total-data-files": str(data_files),
+            "total-delete-files": str(metrics["total-files"] - data_files),
         } | self.summary
         snapshot = M.Snapshot(sequence, parent.snapshot_id if parent else None, sequence, now, self.operation, listed, summary, meta.current_schema_id)
         return replace(meta, snapshots=(*meta.snapshots, snapshot), current_snapshot_id=sequence, snapshot_log=(*meta.snapshot_log, (sequence, now, self.operation)), metrics=metrics)

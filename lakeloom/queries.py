@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import CommitConflict
-from .operators import dml
+from .operators import dml, maintenance
 from .plans.schema import Schema, simple
 from .sources.storage import working_folder
-from .streaming.sink import write_stream
+from .session import read_table, write_table
+from .sources.catalog import FileCatalog
+from .sql import SqlSession
+from .streaming.sink import append_batch, write_stream
 from .streaming.source import stream_changes
 from .table import Table, create_table, open_table
 
@@ -160,6 +163,51 @@ def prune_in(s, d):
     return _pruned(_ranges(s, d), [("o_orderkey", "in", [3, 5, 8])])
 
 
+def _pruned_sql(t: Table, sql: str) -> DataFrame:
+    df = t.sql(sql, "t")
+    if not 0 < len(df.inputFiles()) < len(t.plan()):
+        raise AssertionError("no file was pruned")
+    return df
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderkey < 50 AND o_totalprice > 1000")
+def sql_prune_minmax(s, d):
+    return _pruned_sql(_ranges(s, d), "SELECT o_orderkey, o_totalprice * 2 AS twice FROM (SELECT * FROM {t}) x WHERE o_orderkey < 50 AND o_totalprice > 1000")
+
+
+@query("SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12' AND event_type <> 'error'")
+def sql_prune_partition(s, d):
+    t = table_of(s, raw(s, d, "events"), "events", [("ts", "day")])
+    return _pruned_sql(t, "SELECT * FROM {t} WHERE ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-01-12' AND event_type <> 'error'")
+
+
+@query("SELECT a.o_orderkey, b.o_totalprice FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IN (3, 5, 8) OR a.o_orderkey = 9")
+def sql_prune_join(s, d):
+    return _pruned_sql(_ranges(s, d), "SELECT a.o_orderkey, b.o_totalprice FROM {t} a JOIN {t} b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IN (3, 5, 8) OR a.o_orderkey = 9")
+
+
+@query("SELECT * FROM orders WHERE o_orderkey < 20 OR o_orderkey = 33")
+def prune_column(s, d):
+    return _pruned(_ranges(s, d), (F.col("o_orderkey") < 20) | (F.col("o_orderkey") == 33))
+
+
+@query("SELECT * FROM events WHERE event_type LIKE 'cl%'")
+def prune_prefix(s, d):
+    return _pruned(table_of(s, raw(s, d, "events"), "events", ["event_type"]), "event_type LIKE 'cl%'")
+
+
+@query("SELECT * FROM orders WHERE o_custkey IN (34, 35, 36)")
+def partition_bucket_in(s, d):
+    t = table_of(s, raw(s, d, "orders"), "orders", [("o_custkey", "bucket[16]")])
+    return _pruned(t, [("o_custkey", "in", [34, 35, 36])])
+
+
+@query("SELECT * FROM part WHERE p_size = 5")
+def partition_void(s, d):
+    t = table_of(s, raw(s, d, "part"), "part", [("p_brand", "void")])
+    return t.scan(condition="p_size = 5")
+
+
 @query("SELECT * FROM orders WHERE o_custkey = 77")
 def prune_bloom(s, d):
     o = raw(s, d, "orders")
@@ -326,6 +374,41 @@ def overwrite_filter(s, d):
     return t.scan()
 
 
+@query("SELECT * FROM orders WHERE o_orderkey % 2 = 1")
+def truncate_table(s, d):
+    a, b = parts(raw(s, d, "orders"), "o_orderkey", 2)
+    t = table_of(s, a, "orders")
+    t.truncate()
+    t.append(b)
+    return t.scan()
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT * FROM orders WHERE o_orderkey % 3 = 0")
+def write_table_modes(s, d):
+    o, where = raw(s, d, "orders"), working_folder(s, "orders")
+    write_table(o.where("o_orderkey % 2 = 1"), where)
+    write_table(o.where("o_orderkey % 2 = 0"), where, mode="overwrite")
+    write_table(o.where("o_orderkey % 3 = 0"), where, mode="append")
+    return read_table(s, where)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN least(o_totalprice, 200000) ELSE o_totalprice END AS o_totalprice FROM orders")
+def update_with_functions(s, d):
+    t = table_of(s, raw(s, d, "orders").select("o_orderkey", "o_totalprice"), "orders")
+    t.update(F.col("o_totalprice") > 100000, {"o_totalprice": F.least("o_totalprice", F.lit(200000.0))})
+    return t.scan()
+
+
+@query("SELECT CAST(2 AS BIGINT) AS rows_deleted, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey NOT IN (1, 2)")
+def delete_counts(s, d):
+    t = table_of(s, raw(s, d, "orders"), "orders")
+    n = t.delete("o_orderkey IN (1, 2)")
+    t.delete("o_orderkey < 0")  # no row, no commit
+    if t.snapshot_count() != 2:
+        raise AssertionError("a statement that changes nothing was committed")
+    return t.scan().agg(F.lit(n).cast("long").alias("rows_deleted"), F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT * FROM events WHERE event_id % 2 = 0 AND event_type <> 'click' UNION ALL SELECT * FROM events WHERE event_id % 2 = 1 AND event_type = 'click'")
 def overwrite_dynamic(s, d):
     a, b = parts(raw(s, d, "events"), "event_id", 2)
@@ -382,6 +465,76 @@ def evolve_nested(s, d):
     return t.scan(["c_custkey", "info.label", "info.balance"])
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS c_name FROM customer")
+def evolve_optional(s, d):
+    c = raw(s, d, "customer").select("c_custkey", "c_name")
+    a, b = parts(c, "c_custkey", 2)
+    t = create_table(s, working_folder(s, "customer"), Schema.of(c.schema, required=("c_custkey", "c_name")))
+    t.append(a)
+    t.make_optional("c_name")
+    t.append(b.withColumn("c_name", F.lit(None).cast("string")))
+    return t.scan()
+
+
+# --- SQL statements over a catalog -------------------------------------------------
+def _session(s: SparkSession, d: str, name: str) -> SqlSession:
+    catalog = FileCatalog(s, working_folder(s, "catalog"))
+    catalog.create_namespace("db")
+    catalog.create_table(f"db.{name}", Schema.of(raw(s, d, name).schema)).append(raw(s, d, name))
+    return SqlSession(catalog)
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 2 = 0")
+def sql_as_of(s, d):
+    x = _session(s, d, "orders")
+    x.sql("DELETE FROM db.orders WHERE o_orderkey % 2 = 1")
+    x.sql("DELETE FROM db.orders WHERE o_orderkey % 4 = 0")
+    ids = x.catalog.load_table("db.orders").snapshot_ids()
+    return x.sql(f"SELECT * FROM db.orders VERSION AS OF {ids[1]}")
+
+
+@query("SELECT c_custkey, c_name AS label, c_nationkey, c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN 'even' END AS note FROM customer")
+def sql_alter(s, d):
+    x = _session(s, d, "customer")
+    x.sql("ALTER TABLE db.customer ADD COLUMN note STRING")
+    x.sql("ALTER TABLE db.customer RENAME COLUMN c_name TO label")
+    x.sql("ALTER TABLE db.customer DROP COLUMN c_mktsegment")
+    x.sql("UPDATE db.customer SET note = 'even' WHERE c_custkey % 2 = 0")
+    return x.sql("SELECT * FROM db.customer")
+
+
+@query("SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 3 <> 0")
+def sql_merge(s, d):
+    x = _session(s, d, "orders")
+    raw(s, d, "orders").where("o_orderkey % 3 = 0").createOrReplaceTempView("lakeloom_changed")
+    x.sql("MERGE INTO db.orders AS o USING (SELECT * FROM lakeloom_changed) AS n ON o.o_orderkey = n.o_orderkey WHEN MATCHED AND n.o_orderkey % 5 = 0 THEN DELETE WHEN MATCHED THEN UPDATE SET o_totalprice = 0.0")
+    return x.sql("SELECT * FROM db.orders")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
+def sql_optimize(s, d):
+    x = _session(s, d, "events")
+    for _ in range(5):
+        x.sql("INSERT INTO db.events SELECT * FROM db.events WHERE event_id < 0 OR event_id = 1")
+    x.sql("DELETE FROM db.events WHERE event_id = 1")
+    raw(s, d, "events").where("event_id = 1").createOrReplaceTempView("lakeloom_one")
+    x.sql("INSERT INTO db.events SELECT * FROM lakeloom_one")
+    x.sql("OPTIMIZE db.events ZORDER BY (user_id, ts)")
+    x.sql("VACUUM db.events RETAIN 0 HOURS")
+    return x.sql("SELECT event_type, count(*) AS n FROM db.events GROUP BY event_type")
+
+
+@query("SELECT 'db.customer' AS name, CAST(count(*) AS BIGINT) AS n FROM customer UNION ALL SELECT 'db.nation', count(*) FROM nation")
+def catalog_tables(s, d):
+    catalog = FileCatalog(s, working_folder(s, "catalog"))
+    catalog.create_namespace("db")
+    for name in ("customer", "nation", "region"):
+        catalog.create_table(f"db.{name}", Schema.of(raw(s, d, name).schema)).append(raw(s, d, name))
+    catalog.drop_table("db.region")
+    rows = [(str(i), catalog.load_table(i).snapshot.count("total-records")) for i in catalog.list_tables("db")]
+    return s.createDataFrame(rows, "name string, n long")
+
+
 # --- maintenance -----------------------------------------------------------------
 def _compacted(s, d, **options) -> Table:
     t = table_of(s, raw(s, d, "events"), "events", append=False)
@@ -441,6 +594,46 @@ def column_stats(s, d):
     return table_of(s, c, "customer").column_stats()
 
 
+@query("SELECT c_custkey, c_name || '日本語テキスト' AS name, c_acctbal FROM customer")
+def compact_zorder_text(s, d):
+    c = raw(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit("日本語テキスト")).alias("name"), "c_acctbal")
+    t = table_of(s, c, "customer", append=False)
+    for p in parts(c, "c_custkey", 6):
+        t.append(p)
+    t.compact(strategy="zorder", columns=["name", "c_acctbal"], target_size=1 << 10)
+    bounds = [e.file for e in t.snapshot.data_files()]
+    if len(bounds) < 2 or not len(t.plan("name < 'Customer#00000002'")) < len(bounds):
+        raise AssertionError("the files are not laid out by name")
+    return t.scan()
+
+
+@query("SELECT * FROM events WHERE event_type <> 'error'")
+def compact_sort_partitioned(s, d):
+    e = raw(s, d, "events").where("event_type <> 'error'")
+    t = table_of(s, e, "events", ["event_type"], append=False)
+    for p in parts(e, "event_id", 6):
+        t.append(p)
+    t.compact(strategy="sort", columns=["user_id", "ts"])
+    place = Window.partitionBy("file").orderBy("pos")
+    rows = t.scan().select("user_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"))
+    if rows.withColumn("before", F.lag("user_id").over(place)).where("before > user_id").count():
+        raise AssertionError("a file is not sorted")
+    return t.scan()
+
+
+@query("SELECT * FROM events")
+def compact_filter(s, d):
+    """Only the partitions that a condition selects are rewritten."""
+    t = table_of(s, raw(s, d, "events"), "events", ["event_type"], append=False)
+    for p in parts(raw(s, d, "events"), "event_id", 6):
+        t.append(p)
+    files = len(t.plan())
+    done = t.compact(condition="event_type = 'click'")
+    if not 0 < done.files_before < files or not maintenance.needs_compaction(t):
+        raise AssertionError("the condition did not select files")
+    return t.scan()
+
+
 # --- changes ---------------------------------------------------------------------
 @query("SELECT 'insert' AS change, CAST(sum(CASE WHEN o_orderkey % 3 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS records FROM orders")
 def cdc_files(s, d):
@@ -496,6 +689,49 @@ def stream_cdc(s, d):
     return copy.refresh().scan()
 
 
+@query("SELECT * FROM orders WHERE o_orderkey % 3 <> 1")
+def stream_rollback(s, d):
+    """A copy follows over a rollback, with and without a new commit after it."""
+    first, middle, last = parts(raw(s, d, "orders"), "o_orderkey", 3)
+    t = table_of(s, first, "orders", identifiers=["o_orderkey"])
+    copy = table_of(s, raw(s, d, "orders"), "copy", append=False, identifiers=["o_orderkey"])
+    checkpoint = working_folder(s, "stream")
+
+    def follow(changes: DataFrame, batch_id: int) -> None:
+        b = copy.refresh().merge(changes)
+        b.when_matched_delete("s.change = 'delete'").when_matched_update().when_not_matched_insert(condition="s.change <> 'delete'")
+        copy.run(b)
+
+    def catch_up() -> None:
+        stream_changes(s, t.location, follow, checkpoint).awaitTermination()
+
+    t.append(middle)
+    catch_up()
+    t.rollback_to(t.snapshot_ids()[0])
+    catch_up()
+    if copy.refresh().scan().count() != first.count():
+        raise AssertionError("the rollback did not reach the copy")
+    t.append(middle.limit(10))
+    t.rollback_to(t.snapshot_ids()[0])
+    t.append(last)
+    catch_up()
+    return copy.refresh().scan()
+
+
+@query("SELECT * FROM events")
+def stream_sink_replay(s, d):
+    """A batch that comes again after its snapshot has expired is not appended again."""
+    e = raw(s, d, "events")
+    t = table_of(s, e, "events", append=False)
+    sink = append_batch(t.location, "events-copy")
+    for k, batch in enumerate(parts(e, "event_id", 2)):
+        sink(batch, k)
+    t.refresh().expire_snapshots(older_than_ms=-1)
+    for k, batch in enumerate(parts(e, "event_id", 2)):
+        sink(batch, k)
+    return t.refresh().scan()
+
+
 @query("SELECT * FROM events")
 def stream_sink(s, d):
     e = raw(s, d, "events")
@@ -617,6 +853,43 @@ inherited("json_functions", "SELECT event_id, CAST(json_extract_string(props, '$
 inherited("cte_pivot", "WITH x AS (SELECT o_custkey, o_orderstatus FROM @orders) SELECT o_custkey, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS f, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS o FROM x GROUP BY o_custkey", ["orders"], "SELECT o_custkey, coalesce(F, 0) AS f, coalesce(O, 0) AS o FROM (SELECT o_custkey, o_orderstatus, 1 AS one FROM @orders) PIVOT (count(one) FOR o_orderstatus IN ('F' AS F, 'O' AS O))")
 
 
+inherited(
+    "window_frames",
+    """
+SELECT o_orderkey, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(o_totalprice AS INT) RANGE BETWEEN 5000 PRECEDING AND 5000 FOLLOWING) AS BIGINT) AS around,
+       last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_key,
+       nth_value(o_orderkey, 2) OVER w AS second_key, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd
+FROM @orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)
+""",
+    ["orders"],
+)
+inherited("statistics", "SELECT o_orderstatus, round(corr(o_custkey, o_totalprice), 6) AS c, round(covar_samp(o_custkey, o_totalprice), 2) AS cov, round(var_pop(o_totalprice), 0) AS v, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 6) AS med, max_by(o_orderkey, o_totalprice) AS top, min_by(o_orderkey, o_totalprice) AS low, bool_and(o_totalprice > 0) AS pos FROM @orders GROUP BY o_orderstatus", ["orders"])
+inherited(
+    "approximate",
+    "SELECT CAST(count(DISTINCT n_regionkey) AS BIGINT) AS regions, CAST(count(DISTINCT n_nationkey) AS BIGINT) AS nations FROM @nation",
+    ["nation"],
+    "SELECT approx_count_distinct(n_regionkey, 0.01) AS regions, approx_count_distinct(n_nationkey, 0.01) AS nations FROM @nation",
+)
+inherited("approximate_percentile", "SELECT o_orderstatus, quantile_disc(o_totalprice, 0.5) AS med FROM @orders GROUP BY o_orderstatus", ["orders"], "SELECT o_orderstatus, percentile_approx(o_totalprice, 0.5, 1000000) AS med FROM @orders GROUP BY o_orderstatus")
+inherited("collections", "SELECT c_nationkey, array_to_string(list_sort(list(c_custkey)), ',') AS ids, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments FROM @customer GROUP BY c_nationkey", ["customer"], "SELECT c_nationkey, array_join(array_sort(collect_list(c_custkey)), ',') AS ids, array_join(array_sort(collect_set(c_mktsegment)), ',') AS segments FROM @customer GROUP BY c_nationkey")
+inherited("lateral_join", "SELECT c_custkey, o_orderkey, o_totalprice FROM @customer, LATERAL (SELECT o_orderkey, o_totalprice FROM @orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS x", ["customer", "orders"])
+inherited("regex_functions", "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)', 1) AS digits, regexp_replace(c_name, '[0-9]+', '#') AS masked, regexp_matches(c_name, '7$') AS seven, string_split(c_name, '#')[1] AS head FROM @customer", ["customer"], "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)', 1) AS digits, regexp_replace(c_name, '[0-9]+', '#') AS masked, c_name RLIKE '7$' AS seven, split(c_name, '#')[0] AS head FROM @customer")
+inherited("higher_order", "SELECT vec_id, CAST(round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 4) AS DOUBLE) AS norm, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INT) AS positive FROM @embeddings", ["embeddings"], "SELECT vec_id, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE) * x), CAST(0 AS DOUBLE), (a, x) -> a + x), 4) AS norm, size(filter(embedding, x -> x > 0)) AS positive FROM @embeddings")
+inherited("explode_rows", "SELECT vec_id, CAST(p AS INT) AS pos, CAST(embedding[p + 1] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS p FROM @embeddings)", ["embeddings"], "SELECT vec_id, pos, CAST(x AS DOUBLE) AS x FROM @embeddings LATERAL VIEW posexplode(embedding) e AS pos, x")
+inherited("json_struct", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM @events", ["events"], "SELECT event_id, from_json(props, 'k BIGINT').k AS k FROM @events")
+inherited("time_functions", "SELECT event_id, CAST(strftime(ts, '%Y-%m-%d %H') AS VARCHAR) AS h, CAST(ts AS DATE) + INTERVAL 3 DAY AS later, CAST(hour(ts) AS INT) AS hh, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket FROM @events", ["events"], "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH') AS h, CAST(date_add(CAST(ts AS DATE), 3) AS TIMESTAMP_NTZ) AS later, hour(ts) AS hh, CAST(window(ts, '6 hours').start AS TIMESTAMP_NTZ) AS bucket FROM @events")
+inherited("math_functions", "SELECT o_orderkey, round(pow(o_totalprice, 0.5), 6) AS r, round(sqrt(o_totalprice), 6) AS q, round(ln(o_totalprice), 6) AS l, CAST(((o_orderkey % 7) + 7) % 7 AS INT) AS m, CAST(sign(o_totalprice - 100000) AS DOUBLE) AS s, CAST(ceil(o_totalprice) AS BIGINT) AS c FROM @orders", ["orders"], "SELECT o_orderkey, round(pow(o_totalprice, 0.5), 6) AS r, round(sqrt(o_totalprice), 6) AS q, round(ln(o_totalprice), 6) AS l, CAST(pmod(o_orderkey, 7) AS INT) AS m, sign(o_totalprice - 100000) AS s, ceil(o_totalprice) AS c FROM @orders")
+inherited(
+    "set_ops_all",
+    """
+(SELECT 'intersect_all' AS kind, k FROM (SELECT o_custkey AS k FROM @orders INTERSECT ALL SELECT o_custkey FROM @orders WHERE o_totalprice > 100000))
+UNION ALL (SELECT 'except', k FROM (SELECT c_custkey AS k FROM @customer EXCEPT SELECT o_custkey FROM @orders))
+""",
+    ["orders", "customer"],
+)
+inherited("values_rows", "SELECT n_name, label FROM @nation JOIN (VALUES (0, 'a'), (1, 'b'), (2, 'c')) AS v(k, label) ON n_regionkey = k", ["nation"])
+
+
 @query("SELECT vec_id, len(embedding) AS n, embedding[1] AS first, label FROM embeddings")
 def nested_types(s, d):
     e = raw(s, d, "embeddings")

@@ -2,8 +2,9 @@
 
 Table metadata needs one primitive that a store must offer: creating a file only
 if it is not there.  Local files have it (exclusive open).  For other schemes
-Hadoop's ``create(overwrite=False)`` is used, which is atomic on HDFS; an object
-store without a conditional put is not a safe home for concurrent writers.
+the content is written under another name and renamed, which on HDFS is atomic
+and fails if the name is taken; an object store without a conditional put is not
+a safe home for concurrent writers.
 """
 
 from __future__ import annotations
@@ -95,14 +96,21 @@ def write_new(path: str, text: str) -> None:
     jvm, fs, p = _hadoop(path)
     if fs.exists(p):
         raise FileExistsError(path)
+    own = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(own, False)
     try:
-        out = fs.create(p, False)
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    try:
+        won = fs.rename(own, p)
     except Py4JJavaError as e:
-        if "AlreadyExists" in str(e.java_exception):
-            raise FileExistsError(path) from e
-        raise
-    out.write(bytearray(text.encode()))
-    out.close()
+        if "AlreadyExists" not in str(e.java_exception):
+            raise
+        won = False
+    if not won:
+        fs.delete(own, False)
+        raise FileExistsError(path)
 
 
 def write_over(path: str, text: str) -> None:
@@ -162,7 +170,10 @@ def list_files(folder: str) -> list[tuple[str, int, int]]:
 
 def working_folder(spark: SparkSession, what: str) -> str:
     """A new folder for tables that a query builds: in the cluster's shared folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="lakeloom-")
     folder = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

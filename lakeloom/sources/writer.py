@@ -29,8 +29,8 @@ BOUND_LENGTH = 64
 _PART = "__lakeloom_p"
 
 
-def align(df: DataFrame, schema: Schema) -> DataFrame:
-    """The frame's columns by name, in schema order, with field ids; SchemaMismatch if they don't fit.
+def align(df: DataFrame, schema: Schema, extra: list[str] = ()) -> DataFrame:
+    """The frame's columns by name, in schema order, then ``extra`` ones; SchemaMismatch if they don't fit.
 
     Missing optional columns become null.  A null in a required column, or a
     ``fixed`` value of another length, fails the write itself (no extra pass).
@@ -38,7 +38,7 @@ def align(df: DataFrame, schema: Schema) -> DataFrame:
     have = {f.name: f for f in df.schema}
     if len(have) != len(df.schema):
         raise SchemaMismatch(f"a column name occurs twice in {df.columns}")
-    if unknown := [n for n in have if n not in schema.names]:
+    if unknown := [n for n in have if n not in schema.names and n not in extra]:
         raise SchemaMismatch(f"columns {unknown} are not in the table")
     out = []
     for f in schema.fields:
@@ -58,7 +58,7 @@ def align(df: DataFrame, schema: Schema) -> DataFrame:
         if f.type["type"] == "fixed":
             c = F.when(F.octet_length(c) != f.type["length"], F.raise_error(F.lit(f"{f.name} has fixed length {f.type['length']}"))).otherwise(c)
         out.append(c.alias(f.name))
-    return df.select(*out)
+    return df.select(*out, *(F.col(f"`{n}`") for n in extra))
 
 
 def _fits(got: T.DataType, want: T.DataType) -> bool:
@@ -99,19 +99,23 @@ def _path_of(schema: Schema, field_id: int) -> tuple[str, Field]:
     raise SchemaMismatch(f"partition source {field_id} is no longer in the schema")
 
 
-def write_data(df: DataFrame, schema: Schema, spec: PartitionSpec, location: str, bloom: dict[str, int] | None = None, aligned: bool = False) -> list[DataFile]:
+def write_data(df: DataFrame, schema: Schema, spec: PartitionSpec, location: str, bloom: dict[str, int] | None = None, order: list[str] | None = None) -> list[DataFile]:
     """Writes rows under a fresh folder and describes the files; no row, no file.
 
     Partitioned rows are rebalanced by their partition values: each value's rows
     meet in few files, and a value with very many rows is split by AQE.
-    ``bloom`` gives columns their expected number of distinct values.
+    ``bloom`` gives columns their expected number of distinct values.  Each file
+    is sorted by ``order``, columns of ``df`` that may be none of the table's.
     """
-    rows = df if aligned else align(df, schema)
-    rows = with_ids(rows, schema.spark())
     folder = f"{location}/data/{uuid.uuid4().hex}"
     names = [f"{_PART}{i}" for i in range(len(spec.fields))]
+    extra = [df.schema[c] for c in order or [] if c not in schema.names]
+    rows = align(df, schema, [f.name for f in extra])
+    rows = with_ids(rows, T.StructType([*schema.spark().fields, *extra]))
     if names:
         rows = rows.select("*", *partition_columns(schema, spec)).hint("rebalance", *names)
+    if order:
+        rows = rows.sortWithinPartitions(*names, *(F.col(f"`{c}`") for c in order)).drop(*(f.name for f in extra))
     writer = rows.write.mode("error").option("compression", "zstd")
     for column, ndv in (bloom or {}).items():
         writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", str(ndv))

@@ -1,4 +1,8 @@
-"""A streaming sink: each micro-batch is one commit, and a repeated batch is none."""
+"""A streaming sink: each micro-batch is one commit, and a repeated batch is none.
+
+The highest batch of each query is a table property that is committed with the
+rows, so it outlives the expiry of snapshots.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +18,12 @@ def append_batch(location: str, query: str):
         from ..table import open_table
 
         table = open_table(batch.sparkSession, location)
-        mark = f"{query}:{batch_id}"
-        if any(s.summary.get("stream-batch") == mark for s in table.metadata.snapshots):
+        done = f"stream.batch.{query}"
+        if int(table.properties.get(done, -1)) >= batch_id:
             return
         files = table.write_files(batch)
         if files:
-            Transaction(table, "append", files, summary={"stream-batch": mark}).commit()
+            Transaction(table, "append", files, summary={"stream-batch": f"{query}:{batch_id}"}, properties={done: str(batch_id)}).commit()
 
     return run
 

@@ -1,14 +1,15 @@
 """Structured Streaming over a table's changes: a Python stream source of commits, and row batches from it.
 
-The source yields one small row per commit (sequence, snapshot, parent,
-operation); offsets are sequence numbers, which rise across rollbacks.  Rows
-themselves never pass through Python: each micro-batch turns its commits into
-an ordinary DataFrame of changes.
+The source yields one small row per change of the table's state (sequence,
+snapshot, what was current before it, operation); a rollback is one, too.  An
+offset is a sequence number, which rises with every commit, and the snapshot
+that was current then, so a reader goes on from the state that it has seen.
+Rows themselves never pass through Python: each micro-batch turns its commits
+into an ordinary DataFrame of changes.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,18 +32,36 @@ class _Reader(DataSourceStreamReader):
         self.location = options["location"]
         self.first = int(options.get("startsequence", 0))
 
-    def _log(self) -> tuple[int, list[tuple]]:
-        _, meta = VersionStore(self.location).load()
-        return meta.last_sequence, [(s.sequence, s.snapshot_id, s.parent_id, s.operation) for s in meta.snapshots]
+    def _load(self):
+        return VersionStore(self.location).load()[1]
+
+    def _seen(self, meta, offset: dict) -> int | None:
+        """The snapshot that was current at an offset; without a note, the newest one up to its sequence."""
+        if "snapshot" in offset:
+            return offset["snapshot"]
+        return max((s.snapshot_id for s in meta.snapshots if s.sequence <= offset["sequence"]), default=None)
 
     def initialOffset(self) -> dict:
-        return {"sequence": self.first}
+        at = {"sequence": self.first}
+        return at | {"snapshot": self._seen(self._load(), at) if self.first else None}
 
     def latestOffset(self) -> dict:
-        return {"sequence": self._log()[0]}
+        meta = self._load()
+        return {"sequence": meta.last_sequence, "snapshot": meta.current_snapshot_id}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Range([c for c in self._log()[1] if start["sequence"] < c[0] <= end["sequence"]])]
+        meta = self._load()
+        at, out = self._seen(meta, start), []
+        for s in sorted(meta.snapshots, key=lambda s: s.sequence):
+            if start["sequence"] < s.sequence <= end["sequence"]:
+                if s.parent_id != at and s.parent_id is not None:
+                    out.append((s.sequence, s.parent_id, at, "replace"))
+                    at = s.parent_id
+                out.append((s.sequence, s.snapshot_id, at, s.operation))
+                at = s.snapshot_id
+        if at != (last := self._seen(meta, end)):
+            out.append((end["sequence"], last, at, "replace"))
+        return [_Range(out)]
 
     def read(self, partition: _Range):
         yield from partition.commits
@@ -74,13 +93,14 @@ def commit_stream(spark: SparkSession, location: str, start_sequence: int = 0) -
 def stream_changes(spark: SparkSession, location: str, handle: Callable[[DataFrame, int], None], checkpoint: str, keys: list[str] | None = None, available_now: bool = True):
     """Starts a query that hands each micro-batch's row changes to ``handle(changes, batch_id)``.
 
-    Changes span from the state before the batch's first commit to the state
-    after its last; a restart on the same checkpoint replays nothing.
+    Changes span from the state that the reader has seen to the state after the
+    batch's last commit, also over rollbacks; a restart on the same checkpoint
+    replays nothing.
     """
     from ..table import open_table
 
     def run(commits: DataFrame, batch_id: int) -> None:
-        got = sorted(commits.collect(), key=lambda r: r["sequence"])  # commits of one batch, not rows
+        got = commits.coalesce(1).collect()  # commits of one batch in order, not rows
         if got:
             table = open_table(commits.sparkSession, location)
             handle(table.changes(got[0]["previous_id"], got[-1]["snapshot_id"], keys), batch_id)
@@ -88,7 +108,3 @@ def stream_changes(spark: SparkSession, location: str, handle: Callable[[DataFra
     writer = commit_stream(spark, location).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
-
-def offset_of(text: str) -> int:
-    """The sequence number in a streaming offset's JSON."""
-    return int(json.loads(text)["sequence"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from .errors import NoChanges, ReadOnlyTable, TableAlreadyExists
 from .operators import cdc, dml, maintenance, stats
 from .plans import metadata as M
-from .plans import predicates, scan
+from .plans import predicates, pushdown, scan
 from .plans.partition import FIRST_FIELD_ID, PartitionSpec, SpecBuilder
 from .plans.schema import Schema, SchemaUpdate
 from .plans.transaction import RetryConfig, Transaction
@@ -85,12 +86,15 @@ class Table:
 
     # --- reading ---------------------------------------------------------------
     def plan(self, condition=None) -> list[scan.ScanTask]:
-        """The files a scan with this condition reads, after pruning."""
-        return scan.plan(self.metadata, self.snapshot, self.schema, condition)
+        """The files a scan with this condition reads, after pruning; a Column or SQL of any form prunes by what Catalyst makes of it."""
+        tasks = scan.plan(self.metadata, self.snapshot, self.schema, condition)
+        if condition is None or isinstance(condition, list) or not tasks or predicates.pruning_triples(condition):
+            return tasks
+        return pushdown.pruned(self.metadata, tasks, self.schema, self.frame(tasks).where(predicates.column_of(condition)))
 
     def scan(self, columns: list[str] | None = None, condition: str | Column | list[predicates.Triple] | None = None, limit: int | None = None) -> DataFrame:
         """The table's rows.  The condition prunes files and is applied to the rows; later filters still reach the Parquet scan."""
-        df = scan.to_frame(self.spark, self.metadata, self.plan(condition), self.schema)
+        df = self.frame(self.plan(condition))
         if condition is not None:
             df = df.where(predicates.column_of(condition))
         if columns is not None:
@@ -114,8 +118,19 @@ class Table:
         return self
 
     def sql(self, query: str, name: str = "table") -> DataFrame:
-        """Runs SQL with this table's rows as ``{name}``."""
-        return self.spark.sql(query, **{name: self.scan()})
+        """Runs SQL with this table's rows as ``{name}``; the filters that Catalyst pushes down to them prune files."""
+        return self.over(lambda rows: self.spark.sql(query, **{name: rows}))
+
+    def over(self, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """What a function makes of the table's rows, from the files alone that its pushed-down filters leave."""
+        tasks = self.plan()
+        df = build(self.frame(tasks))
+        kept = pushdown.pruned(self.metadata, tasks, self.schema, df)
+        return build(self.frame(kept)) if len(kept) < len(tasks) else df
+
+    def frame(self, tasks: list[scan.ScanTask]) -> DataFrame:
+        """The rows of some of the table's files."""
+        return scan.to_frame(self.spark, self.metadata, tasks, self.schema)
 
     def to_spark(self) -> DataFrame:
         return self.scan()
