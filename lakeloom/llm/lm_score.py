@@ -1,9 +1,10 @@
 """Operator 8, LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-*Counts.*  Documents fall into blocks; each block's distinct words (as 64-bit
-hashes) go once through a shuffle, where the training counts of all blocks are
-summed, and come back to the block.  So every document is scored with exact
-corpus counts although no table of all words is ever held in one place.
+*Counts.*  Documents fall into blocks of bounded size.  Each block's distinct
+words (as 64-bit hashes) are pre-aggregated, their training counts are summed
+over all blocks and joined back to the block; a word of very many blocks is
+dealt over several tasks.  So every document is scored with exact corpus counts
+although no table of all words is ever held in one place.
 
 *Model.*  The most frequent tokens are dealt by rank into classes of equal size;
 all other words form one rare class.  P(token) = P(class | history) *
@@ -15,11 +16,15 @@ choose, with weights by (history, node).  The tree grows with the distinct
 words to about one word a leaf, the hashed rows with the training tokens (up to
 MOST_DEPTH and MOST_BITS).  Words of one leaf have their smoothed share of it.
 
-*Training.*  Every training document is used once.  In each round tasks start
-from the same weights, take AdaGrad steps over mini-batches of their documents
-and send their weights back, which are averaged by tokens seen, slice by slice.
+*Training.*  Every training document is used once.  A hash of id and text deals
+documents to shards, whose number depends on the corpus alone, and orders them.
+In each round every shard starts from the same weights, takes AdaGrad steps over
+mini-batches of its documents in order and sends its weights back, which are
+averaged by tokens seen, slice by slice and in the order of the shards.  So the
+model does not depend on how the rows are partitioned.
 
-*Scoring.*  Token arrays of whole blocks are scored in numpy batches.
+*Scoring.*  A task streams through its blocks: first a block's words with their
+counts, then its texts, which are scored in numpy batches.
 """
 
 from __future__ import annotations
@@ -31,12 +36,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_part, documents, map_slices
+from .common import Scratch, bounded, crc_part, dealt_join, documents, map_slices, number_columns
 
 #: Classes and tokens of a class; bits of the feature hash; training rounds and step size.
 CLASSES, WIDTH, FEATURE_BITS = 16, 16, 14
@@ -45,8 +49,10 @@ MOST_DEPTH, MOST_BITS = 5, 20
 #: Training tokens a feature row, so that what the tasks send grows no faster than the input.
 TOKENS_OF_A_ROW = 1_024
 ROUNDS, STEP, BATCH = 2, 0.1, 65_536
-#: Rows of a block: its texts and distinct words are one task's group.
-BLOCK_ROWS = 4_096
+#: Rows of a block and bytes of a text in it; longer texts form blocks of as many times fewer rows.
+BLOCK_ROWS, BLOCK_TEXT = 4_096, 1 << 14
+#: Blocks of one word in one task; training tokens of a shard, and tokens for each feature row, at least.
+BLOCKS_OF_A_WORD, SHARD_TOKENS, SHARD_ROW_TOKENS = 4_096, 1 << 21, 32
 SLICES, FAN_IN = 16, 64
 SMOOTHING = 0.1
 END = xxhash.xxh3_64_intdigest(b" end of text ")  # no word contains a space
@@ -262,33 +268,53 @@ def _blob(a: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(a, np.float32).tobytes(), 1)
 
 
-def _train_round(docs: DataFrame, model: Model, scratch: Scratch, name: str) -> Model:
-    """Local steps over all rows of ``docs``, then the average of the tasks' weights by tokens seen."""
+def _train_round(docs: DataFrame, model: Model, shards: int, scratch: Scratch, name: str) -> Model:
+    """Local steps over all rows of ``docs`` by shard, then the average of the shards' weights by tokens seen."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 132 bytes a feature row, 8 a leaf: 400 MB at most
 
     def body(slices):
         m = shared.value
-        local = Trainer(replace(m, class_weights=m.class_weights.copy(), word_weights=m.word_weights.copy()))
-        for part in slices:
-            texts = [tokens_of(t) for t in part["text"]]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            local.learn(np.concatenate(texts), np.cumsum(sizes) - sizes)
-        if local.seen:
+        local, shard, pending, held = None, None, [], 0
+
+        def learn() -> None:
+            nonlocal pending, held
+            if pending:
+                sizes = np.fromiter(map(len, pending), np.int64, len(pending))
+                local.learn(np.concatenate(pending), np.cumsum(sizes) - sizes)
+            pending, held = [], 0
+
+        def close():
+            learn()
             change = np.concatenate(((local.m.class_weights - m.class_weights).ravel(), (local.m.word_weights - m.word_weights).ravel())) * local.seen
-            cuts = np.array_split(change, SLICES)
-            yield {"task": [TaskContext.get().partitionId()] * SLICES, "slice": list(range(SLICES)), "seen": [local.seen] * SLICES, "blob": [_blob(c) for c in cuts]}
+            yield {"shard": [shard] * SLICES, "slice": list(range(SLICES)), "seen": [local.seen] * SLICES, "blob": [_blob(c) for c in np.array_split(change, SLICES)]}
+
+        for part in slices:
+            for own, text in zip(part["shard"], part["text"]):
+                if own != shard:
+                    if local is not None:
+                        yield from close()
+                    shard, local = own, Trainer(replace(m, class_weights=m.class_weights.copy(), word_weights=m.word_weights.copy()))
+                pending.append(tokens_of(text))
+                held += len(pending[-1])
+                if held >= BATCH:  # batches depend on the shard's documents alone
+                    learn()
+        if local is not None:
+            yield from close()
 
     def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
         total = sum(np.frombuffer(zstandard.decompress(b.as_py()), np.float32).astype(np.float64) for b in table.column("blob"))
-        return pa.table({"task": pa.array([table.column("task")[0].as_py() // FAN_IN], pa.int32()), "slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "seen": pa.array([sum(table.column("seen").to_pylist())], pa.int64()), "blob": [_blob(total)]})
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py() // FAN_IN], pa.int64()), "slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "seen": pa.array([sum(table.column("seen").to_pylist())], pa.int64()), "blob": [_blob(total)]})
 
-    schema = "task int, slice int, seen long, blob binary"
-    sums = scratch.keep(map_slices(docs, schema, {"text": "text"}, body), name)
-    tasks = (sums.agg(F.max("task")).first()[0] or 0) + 1
+    schema = "shard long, slice int, seen long, blob binary"
+    order = F.xxhash64("doc_id", "text")
+    dealt = docs.select(F.pmod(F.xxhash64(order), F.lit(shards)).alias("shard"), order.alias("o"), "text")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "o")
+    sums = scratch.keep(map_slices(dealt, schema, {"shard": "shard", "text": "text"}, body), name)
     while True:
-        sums = sums.groupBy("slice", F.floor(F.col("task") / FAN_IN).alias("group")).applyInArrow(add, schema)
-        tasks = -(-tasks // FAN_IN)
-        if tasks <= 1:
+        sums = sums.groupBy("slice", F.floor(F.col("shard") / FAN_IN).alias("group")).applyInArrow(add, schema)
+        shards = -(-shards // FAN_IN)
+        if shards <= 1:
             break
     found = sorted(sums.collect(), key=lambda r: r["slice"])  # SLICES parts of one set of weights
     if found:
@@ -300,13 +326,23 @@ def _train_round(docs: DataFrame, model: Model, scratch: Scratch, name: str) ->
 
 
 def _blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, block): a block is a run of BLOCK_ROWS rows of one file, so a task that scans has whole blocks."""
-    own = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text")]
-    place = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block")
+    """(doc_id, text, block): a block is a run of rows of one file, so a task that scans has whole blocks.
+
+    Texts of up to BLOCK_TEXT bytes come BLOCK_ROWS rows to a block, texts of
+    twice that size half as many, and so on; so no block has more than BLOCK_ROWS
+    times BLOCK_TEXT bytes but one that is a single text.
+    """
+    numbered, names = number_columns(docs)
+    own = [F.col(names[id_col]).alias("doc_id"), F.col(names[text_col]).cast("binary").alias("text")]
+    times = F.ceil(F.log2(F.octet_length("text") / F.lit(BLOCK_TEXT)))
+    level = F.least(F.greatest(F.coalesce(times, F.lit(0)), F.lit(0)), F.lit(BLOCK_ROWS.bit_length() - 1)).cast("int")
+    place = F.xxhash64("file", "level", F.floor(F.col("row") * F.pow(F.lit(2.0), "level") / BLOCK_ROWS))
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     try:
-        return docs.select(*own, place)
+        rows = numbered.select(*own, *where)
     except AnalysisException:  # no scan of files: write the two columns first
-        return scratch.keep(docs.select(*own), "rows").select("doc_id", "text", place)
+        rows = scratch.keep(numbered.select(*own), "rows").select("doc_id", "text", *where)
+    return rows.withColumn("level", level).select("doc_id", "text", place.alias("block"))
 
 
 def _block_words(rows: DataFrame) -> DataFrame:
@@ -393,52 +429,71 @@ def lm_score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col:
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = _blocks(docs, scratch, id_col, text_col).withColumn("train", F.coalesce(train, F.lit(False)))
 
-    per_word = Window.partitionBy("h").orderBy("block", "c")
-    words = _block_words(rows)
-    total = F.sum("c").over(Window.partitionBy("h"))
-    counted = scratch.keep(words.withColumns({"total": total, "lead": F.row_number().over(per_word) == 1}).select("block", "h", F.col("total").alias("c"), "lead"), "counted")
-    leads = counted.where("lead").select("h", "c")
+    words = scratch.keep(_block_words(rows), "words")
+    totals = scratch.keep(words.groupBy("h").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("blocks")), "totals")
+    heavy = totals.where(F.col("blocks") > BLOCKS_OF_A_WORD).select("h", F.ceil(F.col("blocks") / BLOCKS_OF_A_WORD).cast("long").alias("parts"))
+    heavy = scratch.keep(heavy, "heavy")
+    leads = totals.select("h", "c")
+    counted = dealt_join(words.select("block", "h"), leads, ["h"], None if heavy.isEmpty() else bounded(heavy), F.col("block"))
+    counted = scratch.keep(counted.select("block", "h", "c"), "counted")
+    scratch.drop("words")
     n, v = leads.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     depth, bits = sizes_of(n, v)
     model = Model.start(_most_frequent(leads, CLASSES * WIDTH), n, v, _leaf_totals(leads, depth), bits)
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
+    shards = -(-n // max(SHARD_TOKENS, SHARD_ROW_TOKENS << bits)) or 1
     for k in range(ROUNDS):
-        model = _train_round(rows.where(F.col("train") & (part == k)).select("text"), model, scratch, f"round{k}")
+        model = _train_round(rows.where(F.col("train") & (part == k)).select("doc_id", "text"), model, shards, scratch, f"round{k}")
     shared = spark.sparkContext.broadcast(model)
     floor = SMOOTHING / (n + SMOOTHING * (v + 1))
 
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def score(batches):
         m = shared.value
-        keys = known.column("h").to_numpy().view(np.uint64)
-        values = known.column("c").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        ids = texts.column("doc_id")
-        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        at, column = 0, texts.column("text")
-        while at < len(column):
-            batch, size = [], 0
-            while at < len(column) and size < 4 * BATCH:
-                batch.append(tokens_of(column[at].as_py()))
-                size += len(batch[-1])
-                at += 1
-            tokens = np.concatenate(batch)
-            sizes = np.fromiter(map(len, batch), np.int64, len(batch))
-            starts = np.cumsum(sizes) - sizes
-            c = values[np.searchsorted(keys, tokens)].astype(np.float64)
-            features, ranks = history_features(tokens, starts, m.bits), m.ranks(tokens)
-            own = np.concatenate([m.log10(features[:, a : a + BATCH], ranks[a : a + BATCH], c[a : a + BATCH], tokens[a : a + BATCH]) for a in range(0, len(tokens), BATCH)])
-            base = np.log10((c + SMOOTHING) * (floor / SMOOTHING))
-            out["n_tokens"] += sizes.tolist()
-            out["n_known"] += np.add.reduceat((c > 0).astype(np.int64), starts).tolist()
-            out["base_score"] += [math.fsum(base[s : s + k]) for s, k in zip(starts, sizes)]
-            out["score"] += np.add.reduceat(own, starts).tolist()
-        return pa.table({"doc_id": ids, "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
-
-    left = rows.select("doc_id", "text", "block").groupBy("block")
-    right = counted.select("block", "h", "c").groupBy("block")
-    scored = left.cogroup(right).applyInArrow(score, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+        block, known, table = None, [], None
+
+        def scored(ids: pa.Array, texts: pa.Array):
+            keys, values = table
+            at = 0
+            while at < len(texts):
+                begin, batch, size = at, [], 0
+                while at < len(texts) and size < 4 * BATCH:
+                    batch.append(tokens_of(texts[at].as_py()))
+                    size += len(batch[-1])
+                    at += 1
+                tokens = np.concatenate(batch)
+                sizes = np.fromiter(map(len, batch), np.int64, len(batch))
+                starts = np.cumsum(sizes) - sizes
+                c = values[np.searchsorted(keys, tokens)].astype(np.float64)
+                features, ranks = history_features(tokens, starts, m.bits), m.ranks(tokens)
+                own = np.concatenate([m.log10(features[:, a : a + BATCH], ranks[a : a + BATCH], c[a : a + BATCH], tokens[a : a + BATCH]) for a in range(0, len(tokens), BATCH)])
+                base = np.log10((c + SMOOTHING) * (floor / SMOOTHING))
+                found = [sizes, np.add.reduceat((c > 0).astype(np.int64), starts), np.array([math.fsum(base[s : s + k]) for s, k in zip(starts, sizes)]), np.add.reduceat(own, starts)]
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, at - begin), *map(pa.array, found)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        for batch in batches:
+            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            of, kind = column["block"].to_numpy(), column["kind"].to_numpy()
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if block is None or of[a] != block:
+                    block, known, table = of[a], [], None
+                if kind[a] == 0:
+                    known.append((column["h"].slice(a, b - a).to_numpy().view(np.uint64), column["c"].slice(a, b - a).to_numpy()))
+                    continue
+                if table is None:
+                    keys, values = (np.concatenate(x) for x in zip(*known))
+                    order = np.argsort(keys)
+                    table, known = (keys[order], values[order]), []
+                yield from scored(column["doc_id"].slice(a, b - a), column["text"].slice(a, b - a))
+        pa.default_memory_pool().release_unused()
+
+    texts = rows.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("c"), "doc_id", "text")
+    tables = counted.select("block", F.lit(0).alias("kind"), "h", "c", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("binary").alias("text"))
+    both = tables.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    found = both.mapInArrow(score, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

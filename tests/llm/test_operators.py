@@ -711,6 +711,18 @@ def test_lm_beats_the_unigram_base_on_held_out_documents(spark):
     assert r[0] / r[2] > r[1] / r[2] + 0.02
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 1 << 14)
+    monkeypatch.setattr(lm_score, "SHARD_ROW_TOKENS", 0)
+    monkeypatch.setattr(lm_score, "BLOCKS_OF_A_WORD", 2)
+    monkeypatch.setattr(lm_score, "BLOCK_ROWS", 16)
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    one, seven = ({r.doc_id: (r.base_score, r.score) for r in lm_score.lm_score(d.repartition(k), train).collect()} for k in (1, 7))
+    assert one.keys() == seven.keys()
+    assert all(one[k] == pytest.approx(seven[k], rel=1e-6) for k in one)
+
+
 def test_lm_token_probabilities_add_up_to_one():
     counts = [(h, 50 - h % 40) for h in range(1, 300)]
     m = lm_score.Model.start(sorted(counts, key=lambda x: -x[1]), sum(c for _, c in counts), len(counts))
