@@ -23,8 +23,7 @@ mini-batches of its documents in order and sends its weights back, which are
 averaged by tokens seen, slice by slice and in the order of the shards.  So the
 model does not depend on how the rows are partitioned.
 
-*Scoring.*  A task streams through its blocks: first a block's words with their
-counts, then its texts, which are scored in numpy batches.
+*Scoring.*  A block's texts meet its words' counts and are scored in numpy batches.
 """
 
 from __future__ import annotations
@@ -224,6 +223,14 @@ class Trainer:
     @staticmethod
     def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
         """One update from the gradient of each example, added up by feature row."""
+        if len(weights) <= len(rows):  # examples share rows: sums over all rows, a column at a time
+            n = len(rows) // len(gradient)
+            at = np.flatnonzero(np.bincount(rows, minlength=len(weights)))
+            total = np.empty((len(at), gradient.shape[1]), np.float32)
+            for j in range(gradient.shape[1]):
+                total[:, j] = np.bincount(rows, np.tile(gradient[:, j], n), len(weights))[at]
+            Trainer._move(weights, squares, at, total)
+            return
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits at a time: a radix sort
         if len(weights) > 1 << 16:
             order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
@@ -237,7 +244,11 @@ class Trainer:
             n = times[several]
             begin = np.cumsum(n) - n
             total[several] = np.add.reduceat(gradient[order[np.repeat(first[several] - begin, n) + np.arange(n.sum())]], begin, axis=0)
-        at = sorted_rows[first]
+        Trainer._move(weights, squares, sorted_rows[first], total)
+
+    @staticmethod
+    def _move(weights: np.ndarray, squares: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
+        """The AdaGrad step of some rows from their summed gradients."""
         s = total * total
         s += squares[at]
         squares[at] = s
@@ -447,53 +458,38 @@ def lm_score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(model)
     floor = SMOOTHING / (n + SMOOTHING * (v + 1))
 
-    def score(batches):
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         m = shared.value
-        block, known, table = None, [], None
-
-        def scored(ids: pa.Array, texts: pa.Array):
-            keys, values = table
-            at = 0
-            while at < len(texts):
-                begin, batch, size = at, [], 0
-                while at < len(texts) and size < 4 * BATCH:
-                    batch.append(tokens_of(texts[at].as_py()))
-                    size += len(batch[-1])
-                    at += 1
-                tokens = np.concatenate(batch)
-                sizes = np.fromiter(map(len, batch), np.int64, len(batch))
-                starts = np.cumsum(sizes) - sizes
-                c = values[np.searchsorted(keys, tokens)].astype(np.float64)
-                features, ranks = history_features(tokens, starts, m.bits), m.ranks(tokens)
-                own = np.concatenate([m.log10(features[:, a : a + BATCH], ranks[a : a + BATCH], c[a : a + BATCH], tokens[a : a + BATCH]) for a in range(0, len(tokens), BATCH)])
-                base = np.log10((c + SMOOTHING) * (floor / SMOOTHING))
-                found = [sizes, np.add.reduceat((c > 0).astype(np.int64), starts), np.array([math.fsum(base[s : s + k]) for s, k in zip(starts, sizes)]), np.add.reduceat(own, starts)]
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, at - begin), *map(pa.array, found)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-        for batch in batches:
-            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            of, kind = column["block"].to_numpy(), column["kind"].to_numpy()
-            cuts = np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                if a == b:
-                    continue
-                if block is None or of[a] != block:
-                    block, known, table = of[a], [], None
-                if kind[a] == 0:
-                    known.append((column["h"].slice(a, b - a).to_numpy().view(np.uint64), column["c"].slice(a, b - a).to_numpy()))
-                    continue
-                if table is None:
-                    keys, values = (np.concatenate(x) for x in zip(*known))
-                    order = np.argsort(keys)
-                    table, known = (keys[order], values[order]), []
-                yield from scored(column["doc_id"].slice(a, b - a), column["text"].slice(a, b - a))
-        pa.default_memory_pool().release_unused()
-
-    texts = rows.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("c"), "doc_id", "text")
-    tables = counted.select("block", F.lit(0).alias("kind"), "h", "c", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("binary").alias("text"))
-    both = tables.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
-    found = both.mapInArrow(score, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
-    return found.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+        keys = known.column("h").to_numpy().view(np.uint64)
+        values = known.column("c").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        ids = texts.column("doc_id")
+        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+        at, column = 0, texts.column("text")
+        while at < len(column):
+            batch, size = [], 0
+            while at < len(column) and size < 4 * BATCH:
+                batch.append(tokens_of(column[at].as_py()))
+                size += len(batch[-1])
+                at += 1
+            tokens = np.concatenate(batch)
+            sizes = np.fromiter(map(len, batch), np.int64, len(batch))
+            starts = np.cumsum(sizes) - sizes
+            c = values[np.searchsorted(keys, tokens)].astype(np.float64)
+            features, ranks = history_features(tokens, starts, m.bits), m.ranks(tokens)
+            own = np.concatenate([m.log10(features[:, a : a + BATCH], ranks[a : a + BATCH], c[a : a + BATCH], tokens[a : a + BATCH]) for a in range(0, len(tokens), BATCH)])
+            base = np.log10((c + SMOOTHING) * (floor / SMOOTHING))
+            out["n_tokens"] += sizes.tolist()
+            out["n_known"] += np.add.reduceat((c > 0).astype(np.int64), starts).tolist()
+            out["base_score"] += [math.fsum(base[s : s + k]) for s, k in zip(starts, sizes)]
+            out["score"] += np.add.reduceat(own, starts).tolist()
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
+
+    left = rows.select("doc_id", "text", "block").groupBy("block")
+    right = counted.select("block", "h", "c").groupBy("block")
+    scored = left.cogroup(right).applyInArrow(score, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
