@@ -385,6 +385,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if links is not None:
             found = found.join(tried, ["p", "q"], "left_anti")
         found = scratch.keep(found, f"pairs{k}")
+        if links is not None:
+            scratch.drop(f"open{k}")
+            scratch.drop(f"labels{k}")
         tried = found.select("p", "q") if links is None else tried.unionByName(found.select("p", "q"))
         sets = sets_of(found, f"sets{k}")
         more = scratch.keep(_verify(found, sets, shared, threshold, scratch, f"heavy{k}"), f"links{k}")
