@@ -48,6 +48,8 @@ MOST_DEPTH, MOST_BITS = 5, 20
 #: Training tokens a feature row, so that what the tasks send grows no faster than the input.
 TOKENS_OF_A_ROW = 1_024
 ROUNDS, STEP, BATCH = 2, 0.1, 65_536
+#: Tokens whose scores are found at once, so that they stay in a core's cache.
+CHUNK = 4_096
 #: Rows of a block and bytes of a text in it; longer texts form blocks of as many times fewer rows.
 BLOCK_ROWS, BLOCK_TEXT = 4_096, 1 << 14
 #: Blocks of one word in one task; training tokens of a shard, and tokens for each feature row, at least.
@@ -86,6 +88,19 @@ def tokens_of(text: bytes | None) -> np.ndarray:
     return out
 
 
+def _softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Softmax of the bias and the weights in three rows an example; the scores are shifted only where exp could leave its range."""
+    z = np.take(weights, rows[0], axis=0)
+    z += np.take(weights, rows[1], axis=0)
+    z += np.take(weights, rows[2], axis=0)
+    z += bias
+    if z.size and (z.max() > 60 or z.min() < -60):
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= np.einsum("ij->i", z)[:, None]
+    return z
+
+
 @dataclass
 class Model:
     """Shares of plain counts and weights of hashed features."""
@@ -152,36 +167,28 @@ class Model:
     def forward(self, features: np.ndarray, ranks: np.ndarray):
         """Class probabilities, and word probabilities and feature rows of the tokens that aren't rare."""
         own = ranks // WIDTH
-        z = self.class_weights[features[0]]
-        z += self.class_weights[features[1]]
-        z += self.class_weights[features[2]]
-        z += self.class_bias
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z = _softmax(self.class_weights, features, self.class_bias)
         frequent = np.flatnonzero(own < CLASSES)
-        rows, u = self._choice(features[:, frequent], own[frequent] * 7919, self.word_bias[own[frequent]])
+        rows, u = self._choice(features[:, frequent], own[frequent] * 7919, np.take(self.word_bias, own[frequent], axis=0))
         return own, z, frequent, rows, u
 
     def _choice(self, features: np.ndarray, salts: np.ndarray, bias: np.ndarray):
         """Feature rows and probabilities of one softmax over WIDTH choices an example."""
         rows = (features + salts) & (len(self.word_weights) - 1)
-        u = self.word_weights[rows[0]]
-        u += self.word_weights[rows[1]]
-        u += self.word_weights[rows[2]]
-        u += bias
-        u -= u.max(axis=1, keepdims=True)
-        np.exp(u, out=u)
-        u /= u.sum(axis=1, keepdims=True)
-        return rows, u
+        return rows, _softmax(self.word_weights, rows, bias)
 
-    def branches(self, features: np.ndarray, leaf: np.ndarray):
-        """For each level of the rare class: feature rows, probabilities and the branches that lead to the leaves."""
+    def levels(self, features: np.ndarray, leaf: np.ndarray):
+        """For each level of the rare class: feature rows, biases by node, the nodes passed and the branches taken to the leaves."""
         depth = len(self.branch_bias)
         for level, bias in enumerate(self.branch_bias):
             node = leaf >> (4 * (depth - level))
             salts = ((node * 16 + level + CLASSES + 1) * 0x9E3779B1 >> 5) & 0xFFFFFFFF
-            yield *self._choice(features, salts, bias[node]), leaf >> (4 * (depth - level - 1)) & (WIDTH - 1)
+            yield (features + salts) & (len(self.word_weights) - 1), bias, node, leaf >> (4 * (depth - level - 1)) & (WIDTH - 1)
+
+    def branches(self, features: np.ndarray, leaf: np.ndarray):
+        """For each level of the rare class: feature rows, probabilities and the branches that lead to the leaves."""
+        for rows, bias, node, branch in self.levels(features, leaf):
+            yield rows, _softmax(self.word_weights, rows, np.take(bias, node, axis=0)), branch
 
     def log10(self, features: np.ndarray, ranks: np.ndarray, counts: np.ndarray, tokens: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each token; ``counts`` are training counts, used for rare tokens; without ``tokens`` the rare class must have one leaf."""
@@ -222,15 +229,19 @@ class Trainer:
 
     @staticmethod
     def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """One update from the gradient of each example, added up by feature row."""
-        if len(weights) <= len(rows):  # examples share rows: sums over all rows, a column at a time
-            n = len(rows) // len(gradient)
-            at = np.flatnonzero(np.bincount(rows, minlength=len(weights)))
-            total = np.empty((len(at), gradient.shape[1]), np.float32)
-            for j in range(gradient.shape[1]):
-                total[:, j] = np.bincount(rows, np.tile(gradient[:, j], n), len(weights))[at]
-            Trainer._move(weights, squares, at, total)
+        """One update from the gradient of each example ([columns, examples]), added up by feature row ([3, examples])."""
+        if len(weights) <= rows.size:  # examples share rows: sums over all rows, a column at a time; a sum of 0 moves nothing
+            sums = np.empty((len(gradient), len(weights)), np.float32)
+            for total, column in zip(sums, gradient):
+                column = column.astype(np.float64)
+                both = np.bincount(rows[0], column, len(weights))
+                both += np.bincount(rows[1], column, len(weights))
+                both += np.bincount(rows[2], column, len(weights))
+                total[:] = both
+            for a in range(0, len(weights), CHUNK):
+                Trainer._move(weights, squares, slice(a, a + CHUNK), np.ascontiguousarray(sums[:, a : a + CHUNK].T))
             return
+        rows, gradient = rows.ravel(), np.ascontiguousarray(gradient.T)
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits at a time: a radix sort
         if len(weights) > 1 << 16:
             order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
@@ -247,7 +258,7 @@ class Trainer:
         Trainer._move(weights, squares, sorted_rows[first], total)
 
     @staticmethod
-    def _move(weights: np.ndarray, squares: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
+    def _move(weights: np.ndarray, squares: np.ndarray, at: np.ndarray | slice, total: np.ndarray) -> None:
         """The AdaGrad step of some rows from their summed gradients."""
         s = total * total
         s += squares[at]
@@ -258,21 +269,33 @@ class Trainer:
         weights[at] -= total
 
     def learn(self, tokens: np.ndarray, starts: np.ndarray) -> None:
-        features, ranks = history_features(tokens, starts, self.m.bits), self.m.ranks(tokens)
+        """Steps over mini-batches of BATCH tokens; the gradients of one are found CHUNK tokens at a time."""
+        m = self.m
+        features, ranks = history_features(tokens, starts, m.bits), m.ranks(tokens)
         for a in range(0, len(tokens), BATCH):
-            f, r = features[:, a : a + BATCH], ranks[a : a + BATCH]
-            own, z, frequent, rows, u = self.m.forward(f, r)
-            z[np.arange(len(own)), own] -= 1
-            self._step(self.m.class_weights, self.g_class, f.ravel(), z)
+            f, r, t = features[:, a : a + BATCH], ranks[a : a + BATCH], tokens[a : a + BATCH]
+            frequent, rare = np.flatnonzero(r < CLASSES * WIDTH), np.flatnonzero(r == CLASSES * WIDTH)
+            own = r // WIDTH
+            self._update(m.class_weights, self.g_class, f, own, lambda c: m.class_bias)
             if len(frequent):
-                u[np.arange(len(frequent)), r[frequent] % WIDTH] -= 1
-                self._step(self.m.word_weights, self.g_word, rows.ravel(), u)
-            rare = np.flatnonzero(own == CLASSES)
-            if len(rare) and self.m.branch_bias:
-                for rows, u, branch in self.m.branches(f[:, rare], _leaf(tokens[a : a + BATCH][rare], len(self.m.branch_bias))):
-                    u[np.arange(len(rare)), branch] -= 1
-                    self._step(self.m.word_weights, self.g_word, rows.ravel(), u)
-            self.seen += len(own)
+                own = own[frequent]
+                rows = (f[:, frequent] + own * 7919) & (len(m.word_weights) - 1)
+                self._update(m.word_weights, self.g_word, rows, r[frequent] % WIDTH, lambda c: np.take(m.word_bias, own[c], axis=0))
+            if len(rare) and m.branch_bias:
+                f = f[:, rare]
+                for rows, bias, node, branch in m.levels(f, _leaf(t[rare], len(m.branch_bias))):
+                    self._update(m.word_weights, self.g_word, rows, branch, lambda c: np.take(bias, node[c], axis=0))
+            self.seen += len(r)
+
+    def _update(self, weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, chosen: np.ndarray, bias) -> None:
+        """One step of one softmax towards the choices made; ``bias`` gives the biases of a slice of the examples."""
+        gradient = np.empty((weights.shape[1], len(chosen)), np.float32)
+        for a in range(0, len(chosen), CHUNK):
+            c = slice(a, a + CHUNK)
+            z = _softmax(weights, rows[:, c], bias(c))
+            z[np.arange(len(z)), chosen[c]] -= 1
+            gradient[:, c] = z.T
+        self._step(weights, squares, rows, gradient)
 
 
 def _blob(a: np.ndarray) -> bytes:
