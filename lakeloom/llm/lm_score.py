@@ -345,9 +345,10 @@ def _train_round(docs: DataFrame, model: Model, shards: int, scratch: Scratch, n
     dealt = docs.select(F.pmod(F.xxhash64(order), F.lit(shards)).alias("shard"), order.alias("o"), "text")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "o")
     sums = scratch.keep(map_slices(dealt, schema, {"shard": "shard", "text": "text"}, body), name)
-    while True:
-        sums = sums.groupBy("slice", F.floor(F.col("shard") / FAN_IN).alias("group")).applyInArrow(add, schema)
-        shards = -(-shards // FAN_IN)
+    while True:  # each level is a table, so that neither the one before nor its shuffle files stay
+        sums = scratch.keep(sums.groupBy("slice", F.floor(F.col("shard") / FAN_IN).alias("group")).applyInArrow(add, schema), f"{name}-{shards}")
+        scratch.drop(name)
+        shards, name = -(-shards // FAN_IN), f"{name}-{shards}"
         if shards <= 1:
             break
     found = sorted(sums.collect(), key=lambda r: r["slice"])  # SLICES parts of one set of weights
