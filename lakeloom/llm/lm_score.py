@@ -88,19 +88,33 @@ def tokens_of(text: bytes | None) -> np.ndarray:
     return out
 
 
-def _softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Softmax of the bias and the weights in three rows an example; the scores are shifted only where exp could leave its range."""
+def _scores(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The bias plus the weights in three rows an example; shifted only where exp could leave its range."""
     z = np.take(weights, rows[0], axis=0)
     z += np.take(weights, rows[1], axis=0)
     z += np.take(weights, rows[2], axis=0)
     z += bias
     if z.size and (z.max() > 60 or z.min() < -60):
         z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = _scores(weights, rows, bias)
     np.exp(z, out=z)
     z /= np.einsum("ij->i", z)[:, None]
     return z
 
 
+def _log_choice(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """log10 of the softmax of each example's choice."""
+    z = _scores(weights, rows, bias)
+    own = z[np.arange(len(z)), chosen]
+    np.exp(z, out=z)
+    own -= np.log(np.einsum("ij->i", z))
+    return np.maximum(own / np.log(np.float32(10)), -30)
+
+
 @dataclass
 class Model:
     """Shares of plain counts and weights of hashed features."""
@@ -164,19 +178,6 @@ class Model:
         at = np.minimum(np.searchsorted(self.top, tokens), len(self.top) - 1)
         return np.where(self.top[at] == tokens, self.rank[at], rare)
 
-    def forward(self, features: np.ndarray, ranks: np.ndarray):
-        """Class probabilities, and word probabilities and feature rows of the tokens that aren't rare."""
-        own = ranks // WIDTH
-        z = _softmax(self.class_weights, features, self.class_bias)
-        frequent = np.flatnonzero(own < CLASSES)
-        rows, u = self._choice(features[:, frequent], own[frequent] * 7919, np.take(self.word_bias, own[frequent], axis=0))
-        return own, z, frequent, rows, u
-
-    def _choice(self, features: np.ndarray, salts: np.ndarray, bias: np.ndarray):
-        """Feature rows and probabilities of one softmax over WIDTH choices an example."""
-        rows = (features + salts) & (len(self.word_weights) - 1)
-        return rows, _softmax(self.word_weights, rows, bias)
-
     def levels(self, features: np.ndarray, leaf: np.ndarray):
         """For each level of the rare class: feature rows, biases by node, the nodes passed and the branches taken to the leaves."""
         depth = len(self.branch_bias)
@@ -185,26 +186,34 @@ class Model:
             salts = ((node * 16 + level + CLASSES + 1) * 0x9E3779B1 >> 5) & 0xFFFFFFFF
             yield (features + salts) & (len(self.word_weights) - 1), bias, node, leaf >> (4 * (depth - level - 1)) & (WIDTH - 1)
 
-    def branches(self, features: np.ndarray, leaf: np.ndarray):
-        """For each level of the rare class: feature rows, probabilities and the branches that lead to the leaves."""
-        for rows, bias, node, branch in self.levels(features, leaf):
-            yield rows, _softmax(self.word_weights, rows, np.take(bias, node, axis=0)), branch
-
     def log10(self, features: np.ndarray, ranks: np.ndarray, counts: np.ndarray, tokens: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each token; ``counts`` are training counts, used for rare tokens; without ``tokens`` the rare class must have one leaf."""
-        own, z, frequent, _, u = self.forward(features, ranks)
-        p = np.log10(np.maximum(z[np.arange(len(own)), own], 1e-30)).astype(np.float64)
-        p[frequent] += np.log10(np.maximum(u[np.arange(len(frequent)), ranks[frequent] % WIDTH], 1e-30))
-        rare = np.flatnonzero(own == CLASSES)
+        own, mask = ranks // WIDTH, len(self.word_weights) - 1
+        p = _log_choice(self.class_weights, features, self.class_bias, own).astype(np.float64)
+        frequent, rare = np.flatnonzero(own < CLASSES), np.flatnonzero(own == CLASSES)
+        of = own[frequent]
+        p[frequent] += _log_choice(self.word_weights, (features[:, frequent] + of * 7919) & mask, np.take(self.word_bias, of, axis=0), ranks[frequent] % WIDTH)
         leaf = np.zeros(len(rare), np.int64)
         if self.branch_bias:
             leaf = _leaf(np.where(counts[rare] > 0, tokens[rare], np.uint64(UNKNOWN)), len(self.branch_bias))
-            for _, u, branch in self.branches(features[:, rare], leaf):
-                p[rare] += np.log10(np.maximum(u[np.arange(len(rare)), branch], 1e-30))
+            for rows, bias, node, branch in self.levels(features[:, rare], leaf):
+                p[rare] += _log_choice(self.word_weights, rows, np.take(bias, node, axis=0), branch)
         p[rare] += np.log10((counts[rare] + SMOOTHING) / self.leaves[leaf])
         return p
 
 
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where ``wanted`` hashes stand in the sorted ``keys``, all of which are there: by their leading bits, then step by step."""
+    bits = np.uint64(max(len(keys).bit_length(), 1))
+    head = np.searchsorted(keys, np.arange(1 << int(bits), dtype=np.uint64) << (np.uint64(64) - bits))
+    at = head[(wanted >> (np.uint64(64) - bits)).astype(np.int64)]
+    short = np.flatnonzero(keys[at] < wanted)
+    while len(short):
+        at[short] += 1
+        short = short[keys[at[short]] < wanted[short]]
+    return at
+
+
 def history_features(tokens: np.ndarray, starts: np.ndarray, bits: int = FEATURE_BITS) -> np.ndarray:
     """[3, tokens] hashed features: word before, pair before, skip word; texts begin at ``starts``."""
     one = np.empty_like(tokens)
@@ -232,12 +241,13 @@ class Trainer:
         """One update from the gradient of each example ([columns, examples]), added up by feature row ([3, examples])."""
         if len(weights) <= rows.size:  # examples share rows: sums over all rows, a column at a time; a sum of 0 moves nothing
             sums = np.empty((len(gradient), len(weights)), np.float32)
-            for total, column in zip(sums, gradient):
+            total = np.empty(len(weights))
+            for own, column in zip(sums, gradient):
                 column = column.astype(np.float64)
-                both = np.bincount(rows[0], column, len(weights))
-                both += np.bincount(rows[1], column, len(weights))
-                both += np.bincount(rows[2], column, len(weights))
-                total[:] = both
+                total.fill(0)
+                for at in rows:
+                    np.add.at(total, at, column)
+                own[:] = total
             for a in range(0, len(weights), CHUNK):
                 Trainer._move(weights, squares, slice(a, a + CHUNK), np.ascontiguousarray(sums[:, a : a + CHUNK].T))
             return
@@ -470,8 +480,6 @@ def lm_score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col:
     heavy = scratch.keep(heavy, "heavy")
     leads = totals.select("h", "c")
     counted = dealt_join(words.select("block", "h"), leads, ["h"], None if heavy.isEmpty() else bounded(heavy), F.col("block"))
-    counted = scratch.keep(counted.select("block", "h", "c"), "counted")
-    scratch.drop("words")
     n, v = leads.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     depth, bits = sizes_of(n, v)
     model = Model.start(_most_frequent(leads, CLASSES * WIDTH), n, v, _leaf_totals(leads, depth), bits)
@@ -500,7 +508,7 @@ def lm_score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col:
             tokens = np.concatenate(batch)
             sizes = np.fromiter(map(len, batch), np.int64, len(batch))
             starts = np.cumsum(sizes) - sizes
-            c = values[np.searchsorted(keys, tokens)].astype(np.float64)
+            c = values[places(keys, tokens)].astype(np.float64)
             features, ranks = history_features(tokens, starts, m.bits), m.ranks(tokens)
             own = np.concatenate([m.log10(features[:, a : a + BATCH], ranks[a : a + BATCH], c[a : a + BATCH], tokens[a : a + BATCH]) for a in range(0, len(tokens), BATCH)])
             base = np.log10((c + SMOOTHING) * (floor / SMOOTHING))
