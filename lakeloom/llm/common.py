@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 SLICE_ROWS, SLICE_CHARS = 2_000, 4_000_000
 #: Spark's setting that removes the shuffle files of a finished write, and bytes of a row group of a kept table.
 CLEAN_UP, ROW_GROUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", 32 << 20
+#: Spark's setting of the bytes that go to Python at once, and its value in kept steps: JVM and worker hold a batch each, both in full.
+BATCH_BYTES, BYTES_OF_A_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 #: Rows of keys, a few numbers each, that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -59,14 +61,16 @@ class Scratch:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Row groups are small, so that a writing task holds little; the shuffle files of the step go with it."""
+        """Row groups and Arrow batches are small, so that a writing task holds little; the shuffle files of the step go with it."""
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(CLEAN_UP, "false")
+        before = {CLEAN_UP: self.spark.conf.get(CLEAN_UP, "false"), BATCH_BYTES: self.spark.conf.get(BATCH_BYTES)}
         self.spark.conf.set(CLEAN_UP, "true")
+        self.spark.conf.set(BATCH_BYTES, str(BYTES_OF_A_BATCH))
         try:
             df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
         finally:
-            self.spark.conf.set(CLEAN_UP, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
