@@ -862,6 +862,13 @@ SELECT o_orderkey, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(o_to
 FROM @orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)
 """,
     ["orders"],
+    # DuckDB rounds a double to the nearest integer, halves to the even one, and puts nulls last.
+    """
+SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(rint(o_totalprice) AS INT) NULLS LAST RANGE BETWEEN 5000 PRECEDING AND 5000 FOLLOWING) AS around,
+       last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_totalprice NULLS LAST, o_orderkey NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_key,
+       nth_value(o_orderkey, 2) OVER w AS second_key, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd
+FROM @orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice NULLS LAST, o_orderkey NULLS LAST)
+""",
 )
 inherited("statistics", "SELECT o_orderstatus, round(corr(o_custkey, o_totalprice), 6) AS c, round(covar_samp(o_custkey, o_totalprice), 2) AS cov, round(var_pop(o_totalprice), 0) AS v, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 6) AS med, max_by(o_orderkey, o_totalprice) AS top, min_by(o_orderkey, o_totalprice) AS low, bool_and(o_totalprice > 0) AS pos FROM @orders GROUP BY o_orderstatus", ["orders"])
 inherited(
