@@ -72,7 +72,9 @@ def plan(meta: TableMetadata, snapshot: Snapshot | None, schema: Schema, conditi
 
 
 def _broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Beyond the bound a sort-merge join is asked for: left alone, Spark goes by the size of the files, and
+    sorted positions under one path take about a byte a row there but hundreds on the driver."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _read(spark: SparkSession, fields: T.StructType, paths: list[str]) -> DataFrame:

@@ -260,6 +260,20 @@ def test_null_keys_in_equality_deletes(spark, tmp_path):
     assert values(t.scan()) == [(None, 3)]
 
 
+def test_deletes_beyond_the_bound_are_not_broadcast(spark, tmp_path, monkeypatch):
+    rows = [(i, "ab"[i % 2], i % 5) for i in range(40)]
+    t = make(spark, tmp_path, rows=rows)
+    t.update("score > 2", {"name": "'u'"}, dml.MERGE_ON_READ)
+    t.delete("id < 10 AND name = 'a'", dml.MERGE_ON_READ, keys=["id", "name"])
+    want = sorted((i, "u" if k > 2 else n, k) for i, n, k in rows if not (i < 10 and n == "a" and k <= 2))
+    for bound, joins in ((1_000, "BroadcastHashJoin"), (1, "SortMergeJoin")):
+        monkeypatch.setattr(scan, "BROADCAST_ROWS", bound)
+        found = t.scan()
+        assert sorted(tuple(r) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {"BroadcastHashJoin", "SortMergeJoin"} & set(plan.replace("(", " ").split()) == {joins}
+
+
 def test_merge_cardinality_and_order_of_clauses(spark, tmp_path):
     t = make(spark, tmp_path, rows=[(1, "a", 1), (2, "b", 2)], identifiers=("id",))
     twice = spark.createDataFrame([(1, "x", 5), (1, "y", 6)], "id long, name string, score int")
