@@ -136,8 +136,8 @@ def _describe(docs: DataFrame, width: int, id_type: str) -> DataFrame:
     return map_slices(docs, ddl, {"doc_id": "doc_id", "text": "text"}, body)
 
 
-def _add_sketches(partial: DataFrame, tasks: int) -> np.ndarray:
-    """Sum of the tasks' sketches, added up FAN_IN at a time."""
+def _add_sketches(partial: DataFrame, tasks: int, scratch: Scratch) -> np.ndarray:
+    """Sum of the tasks' sketches, added up FAN_IN at a time.  Each level is a table, so that neither the one before nor its shuffle files stay."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint32)
@@ -145,12 +145,16 @@ def _add_sketches(partial: DataFrame, tasks: int) -> np.ndarray:
             total += _unpack(blob.as_py())
         return pa.table({"task": pa.array([table.column("task")[0].as_py() // FAN_IN], pa.int32()), "slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "blob": [_pack(total)]})
 
+    level = 0
     while True:
         partial = partial.groupBy("slice", F.floor(F.col("task") / FAN_IN).alias("group")).applyInArrow(add, "task int, slice int, blob binary")
-        tasks = -(-tasks // FAN_IN)
+        partial = scratch.keep(partial, f"sketch{level}")
+        scratch.drop(f"sketch{level - 1}" if level else "described")
+        tasks, level = -(-tasks // FAN_IN), level + 1
         if tasks <= 1:
             break
     found = {r["slice"]: _unpack(r["blob"]) for r in partial.collect()}  # 2^22 counters, whatever the input
+    scratch.drop(f"sketch{level - 1}")
     return np.concatenate([found[k] for k in range(SLICES)]) if found else np.zeros(1 << SKETCH_BITS, np.uint32)
 
 
@@ -273,10 +277,17 @@ def may_link(x: np.ndarray, y: np.ndarray, i: int, j: int, threshold: int) -> bo
 
 def _verify(pairs: DataFrame, sets: DataFrame, sketch, threshold: int, scratch: Scratch, name: str) -> DataFrame:
     """(p, q) of the pairs that link, by their sets' intersection."""
+    ends = pairs.select(F.col("p").alias("node"), F.lit("p").alias("end")).unionByName(pairs.select(F.col("q").alias("node"), F.lit("q").alias("end")))
+    counted = ends.groupBy("node", "end").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PAIRS_OF_A_SET)
+    heavy = scratch.keep(counted.groupBy("node").agg(F.ceil(F.max("c") / PAIRS_OF_A_SET).cast("long").alias("parts")), name)
+    heavy = None if heavy.isEmpty() else bounded(heavy)
+    # The sets are shuffled once for both joins and are in no table: these shuffles are most of the operator's disk.
+    on = ["node"] if heavy is None else ["node", "part"]
+    own = (sets if heavy is None else repeated(sets, ["node"], heavy)).select(*on, "hashes").repartition(*on).dropDuplicates(on)
     both = pairs
     for k, other in (("p", "q"), ("q", "p")):
-        heavy = heavy_keys(pairs, [k], PAIRS_OF_A_SET, scratch, f"{name}-{k}")
-        both = dealt_join(both, sets.select(F.col("node").alias(k), F.col("hashes").alias(f"{k}_hashes")), [k], heavy, F.col(other))
+        many = both if heavy is None else dealt(both, [k], heavy.withColumnRenamed("node", k), F.col(other))
+        both = many.join(own.withColumnsRenamed({"node": k, "hashes": f"{k}_hashes"}), [k, *on[1:]]).drop("part")
 
     def run(batches):
         counts = sketch.value
@@ -320,10 +331,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = select_exact(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.col("text").cast("binary"))
 
     described = scratch.keep(_describe(rows, width, id_type), "described")
-    own = described.where("slice IS NULL").select("doc_id", "n", "sig", *ODD)
+    own = scratch.keep(described.where("slice IS NULL").select("doc_id", "n", "sig", *ODD), "own")  # without the sketches
     partial = described.where("slice IS NOT NULL").select("task", "slice", "blob")
     tasks = (partial.agg(F.max("task")).first()[0] or 0) + 1
-    sketch = _add_sketches(partial, tasks)
+    sketch = _add_sketches(partial, tasks, scratch)
     mean = float(sketch.sum(dtype=np.float64) / len(sketch))
 
     linked = own.where("n > 0 AND doc_id IS NOT NULL")
@@ -352,15 +363,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        """(node, hashes) of the nodes that occur in pairs; only their texts go to Python again."""
+        """(node, hashes) of the nodes that occur in pairs; only their texts go to Python again.  Rows that repeat id and text in several tasks repeat a node."""
         wanted = pairs.select(F.col("p").alias("node")).union(pairs.select("q")).distinct()
         wanted = scratch.keep(nodes.join(wanted, "node").select("node", "id", "sig", "n"), f"{name}-wanted")
         ids = bounded(scratch.keep(wanted.select(F.col("id").alias("doc_id")).distinct(), f"{name}-ids"))
         found = map_slices(rows.join(ids, "doc_id", "left_semi"), f"id {id_type}, sig long, n long, hashes array<bigint>", {"doc_id": "doc_id", "text": "text"}, to_sets)
-        sets = scratch.keep(found.join(bounded(wanted), ["id", "sig", "n"]).select("node", "hashes"), name)
-        if sets.count() > wanted.count():  # rows that repeat id and text in several tasks
-            sets = scratch.keep(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), f"{name}-once")
-        return sets
+        return found.join(bounded(wanted), ["id", "sig", "n"]).select("node", "hashes")
 
     links = None
     for k, pivots in enumerate((*PIVOTS, None)):
@@ -393,7 +401,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         tried = found.select("p", "q") if links is None else tried.unionByName(found.select("p", "q"))
         sets = sets_of(found, f"sets{k}")
         more = scratch.keep(_verify(found, sets, shared, threshold, scratch, f"heavy{k}"), f"links{k}")
-        scratch.drop(f"sets{k}")
         links = more if links is None else links.unionByName(more)
 
     # An id with several texts is one document: its nodes are joined by the id itself.

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakeloom.llm import bpe, exact_dedup, flac, language_id, lm_score, ngram_join, packing, quality, secrets, token_counts
+from lakeloom.llm import bpe, common, exact_dedup, flac, language_id, lm_score, ngram_join, packing, quality, secrets, token_counts
 from lakeloom.llm.tokenizer import TextEncoder
 
 from .conftest import awkward
@@ -581,6 +582,34 @@ def test_ngram_join_of_repeated_ids(spark, monkeypatch, block):
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got], want)
 
 
+@pytest.mark.parametrize("pairs_of_a_set", [128, 1])
+def test_ngram_join_shuffles_sets_once_and_keeps_no_table_of_them(spark, monkeypatch, pairs_of_a_set):
+    monkeypatch.setattr(ngram_join, "PAIRS_OF_A_SET", pairs_of_a_set)
+    shingles, left, plans, keep, drop = [], {}, [], common.Scratch.keep, common.Scratch.drop
+
+    def noted(self, df, name):
+        shingles.extend(name for c in df.columns if "hashes" in c)
+        left[name] = df.columns
+        if name == "links0":
+            df.collect()  # AQE's final plan
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return keep(self, df, name)
+
+    monkeypatch.setattr(common.Scratch, "keep", noted)
+    monkeypatch.setattr(common.Scratch, "drop", lambda self, name: (left.pop(name), drop(self, name)))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = [f"w{i}" for i in range(60)]
+        rows = [(k, " ".join([*text[: k + 1], "other", *text[k + 2 :]])) for k in range(0, 59, 6)] + [(60, " ".join(text)), (61, "nothing like the rest of them")]
+        got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: 61 if k == 61 else 0 for k, _ in rows}
+    assert not shingles and len(re.findall(r"ReusedExchange \[[^\]]*hashes", plans[0])) == 1
+    assert not [name for name, columns in left.items() if "blob" in columns]  # the tasks' sketches go once they are added up
+
+
 def test_suffix_filter_loses_no_link():
     rng = np.random.default_rng(3)
     rejected = 0
